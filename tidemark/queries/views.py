@@ -19,7 +19,8 @@ from .technical import DIGITS
 
 C = F.col
 KEY = ["symbol", "date"]
-PLACES = {**DIGITS, **{c: 10 for c in _MACRO_OUT}}
+PLACES = {**DIGITS, **{c: 10 for c in _MACRO_OUT},
+          "hy_oas_change_lag1": 10, "yield_curve_slope_lag1": 10}
 LABEL_DOUBLES = ["y_1d_raw", "y_5d_raw", "y_1d_vol", "y_5d_vol", "y_1d_clipped",
                  "y_5d_clipped"]
 
