@@ -22,42 +22,51 @@ from pyspark.sql import functions as F
 
 from .rolling import Series
 
-RADIX = 8
 NEGLIGIBLE = 1e-18
+WIDE_RADIX = 8        # measured best: a few cheap offsets per pass
 
 
 def decay(span: int) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
 
-def passes_needed(span: int, radix: int = RADIX) -> int:
+def rows_needed(span: int) -> int:
+    """Rows after which the remaining weight is below double precision."""
     if span <= 1:
-        return 0
-    rows = math.log(NEGLIGIBLE) / math.log(decay(span))
-    return max(1, math.ceil(math.log(rows) / math.log(radix)))
+        return 1
+    return math.ceil(math.log(NEGLIGIBLE) / math.log(decay(span)))
 
 
-def with_ema(df: DataFrame, series: Series, targets: dict[str, tuple[str, int]],
-             radix: int = RADIX) -> DataFrame:
+def plan_passes(rows: int) -> tuple[int, int]:
+    """(passes, radix): fewest passes whose radix stays moderate."""
+    passes = 1
+    while math.ceil(rows ** (1 / passes)) > WIDE_RADIX:
+        passes += 1
+    return passes, max(2, math.ceil(rows ** (1 / passes)))
+
+
+def with_ema(df: DataFrame, series: Series,
+             targets: dict[str, tuple[str, int]]) -> DataFrame:
     """Add EMA columns: ``targets`` maps output name -> (input column, span).
 
-    Inputs must be non-null.  All targets advance together, one Window
-    operator per pass.
+    All targets advance together, one Window operator per pass.  Inputs are
+    expected to be non-null (a missing value weighs as 0); seeds and LAG
+    defaults are therefore never null, which keeps the generated projection
+    small enough for the JIT even with many targets.
     """
     keys = ", ".join(series.keys) or "0"
     over = f"OVER (PARTITION BY {keys} ORDER BY {series.order})"
     df = df.withColumns({
-        out: F.expr(f"CASE WHEN row_number() {over} = 1 THEN {src}"
-                    f" ELSE {src} * {1.0 - decay(span)!r}D END")
+        out: F.expr(f"coalesce({src}, 0D) * CASE WHEN row_number() {over} = 1"
+                    f" THEN 1D ELSE {1.0 - decay(span)!r}D END")
         for out, (src, span) in targets.items()})
-    total = max(passes_needed(span, radix) for _, span in targets.values())
-    step = 1
-    for level in range(total):
+    passes, radix = plan_passes(max(rows_needed(n) for _, n in targets.values()))
+    for level in range(passes):
+        step = radix ** level
         df = df.withColumns({
             out: F.expr(_pass_sql(out, decay(span), step, radix, over))
             for out, (_, span) in targets.items()
-            if level < passes_needed(span, radix)})
-        step *= radix
+            if step <= rows_needed(span)})
     return df
 
 
@@ -68,5 +77,5 @@ def _pass_sql(name: str, d: float, step: int, radix: int, over: str) -> str:
         weight = d ** (i * step)
         if weight < NEGLIGIBLE:
             break
-        terms.append(f"{weight!r}D * coalesce(lag({name}, {i * step}) {over}, 0D)")
+        terms.append(f"{weight!r}D * lag({name}, {i * step}, 0D) {over}")
     return " + ".join(terms)

@@ -139,9 +139,7 @@ def _directional_index() -> Column:
     return 100 * F.abs(plus - minus) / (plus + minus + 1e-9)
 
 
-HELPERS = ["_gain", "_loss", "_dm_up", "_dm_down", "_prev_ret", "_rn",
-           "_tr_ema", "_up_ema", "_down_ema", "_ema_fast", "_ema_slow",
-           "macd_line", "macd_signal", "_dx"]
+HELPERS = ["_gain", "_loss", "_prev_ret", "_rn", "macd_line", "macd_signal", "_dx"]
 
 
 def technical_features(bars: DataFrame, s: Series = BY_SYMBOL,
@@ -150,14 +148,8 @@ def technical_features(bars: DataFrame, s: Series = BY_SYMBOL,
 
     Unused outputs are pruned by Catalyst, so callers select what they need.
     """
-    df = bars.withColumns({
-        **log_returns(s=s), **moving_averages(s=s), **drawdowns(s=s),
-        **price_ranges(), **volume_features(s), **calendar_features(s),
-        **_moves(s)})
-    df = df.withColumns({
-        **realized_vol(s=s), **rsi(s=s), **atr(s=s), **session_features(s=s),
-        **return_autocorr(s=s), **price_rsquared(s=s),
-        "sma20_gt_sma50": flag(C("sma_20") > C("sma_50"))})
+    # smoothed indicators first, while rows are narrow
+    df = bars.withColumns(_moves(s))
     df = with_ema(df, s, {
         "ema_20": ("close", 20), "ema_50": ("close", 50),
         "_ema_fast": ("close", 12), "_ema_slow": ("close", 26),
@@ -165,8 +157,17 @@ def technical_features(bars: DataFrame, s: Series = BY_SYMBOL,
         "_down_ema": ("_dm_down", 14)})
     df = df.withColumns({"macd_line": C("_ema_fast") - C("_ema_slow"),
                          "_dx": _directional_index()})
+    df = df.drop("_dm_up", "_dm_down", "_ema_fast", "_ema_slow", "_tr_ema",
+                 "_up_ema", "_down_ema")
     df = with_ema(df, s, {"macd_signal": ("macd_line", 9), "adx_14": ("_dx", 14)})
-    df = df.withColumn("macd_hist", C("macd_line") - C("macd_signal"))
+    df = df.withColumns({
+        "macd_hist": C("macd_line") - C("macd_signal"),
+        **log_returns(s=s), **moving_averages(s=s), **drawdowns(s=s),
+        **price_ranges(), **volume_features(s), **calendar_features(s),
+        **rsi(s=s), **atr(s=s), **session_features(s=s), **price_rsquared(s=s)})
+    df = df.withColumns({
+        **realized_vol(s=s), **return_autocorr(s=s),
+        "sma20_gt_sma50": flag(C("sma_20") > C("sma_50"))})
     drop = [h for h in HELPERS if not (keep_macd and h.startswith("macd_"))]
     return df.drop(*drop)
 

@@ -1,6 +1,6 @@
 """Imports every query module, so the registry is complete."""
 
-from . import context, labelling, scoring, technical, views  # noqa: F401
+from . import checks, context, labelling, scoring, technical, views  # noqa: F401
 from .registry import INVENTORY, ORACLES, QUERIES
 
 __all__ = ["INVENTORY", "ORACLES", "QUERIES"]

@@ -24,7 +24,7 @@ from ..operators.targets import barrier_classes
 from ..sources import market
 from .base_sql import cte, r, rs
 from .registry import query
-from .views import tables
+from .views import PLACES, tables
 
 C = F.col
 KEY = ["symbol", "date"]
@@ -257,53 +257,57 @@ def tuned_thresholds(spark, sf):
 
 
 # --- calibration ----------------------------------------------------------------------
-def _iso(p, k):
-    """Isotonic fit as max over starts of min over ends of block means."""
-    return f"""
-SELECT x, max(lowest) AS fit FROM (
-  SELECT i.x, j.id AS start, min(m.s / m.n) AS lowest
-  FROM pts_{p} i JOIN pts_{p} j ON j.id <= i.id
-  JOIN blk_{p} m ON m.a = j.id AND m.b >= i.id GROUP BY i.x, j.id) GROUP BY x"""
-
-
+# Isotonic fit of a point: the highest, over block starts at or before it, of
+# the lowest mean over block ends at or after it.
 for _p, _k in (("p_down", -1), ("p_up", 1)):
     cte(f"pts_{_p}", f"""
-SELECT {_p} AS x, row_number() OVER (ORDER BY {_p}) AS id,
-  sum(CASE WHEN y_true = {_k} THEN 1 ELSE 0 END) AS s, count(*) AS n
-FROM eval WHERE split = 'val' AND horizon = '1d' AND model_name = 'rsi' AND symbol = 'SPY'
-GROUP BY {_p}""")
-    cte(f"blk_{_p}", f"""
-SELECT a.id AS a, b.id AS b, (b.cs - a.cs + a.s) AS s, (b.cn - a.cn + a.n) AS n
-FROM (SELECT *, sum(s) OVER (ORDER BY id) AS cs, sum(n) OVER (ORDER BY id) AS cn FROM pts_{_p}) a
-JOIN (SELECT *, sum(s) OVER (ORDER BY id) AS cs, sum(n) OVER (ORDER BY id) AS cn FROM pts_{_p}) b
-  ON b.id >= a.id""")
-
-
-def calibrated(spark, sf, where: str) -> DataFrame:
-    """Curves fitted on the validation rows, applied to the same model's rows."""
-    df = predictions(spark, sf).where(where)
-    cal = calibration.fit_calibrator(df.where("split = 'val'"),
-                                     {-1: "p_down", 1: "p_up"})
-    return cal.transform(df)
+SELECT *, row_number() OVER (PARTITION BY horizon, model_name ORDER BY x) AS id,
+  sum(s) OVER (PARTITION BY horizon, model_name ORDER BY x) AS cs,
+  sum(n) OVER (PARTITION BY horizon, model_name ORDER BY x) AS cn
+FROM (SELECT horizon, model_name, {_p} AS x,
+        sum(CASE WHEN y_true = {_k} THEN 1 ELSE 0 END) AS s, count(*) AS n
+      FROM eval WHERE split = 'val' GROUP BY ALL)""")
+    cte(f"fit_{_p}", f"""
+SELECT horizon, model_name, x, max(lowest) AS fit FROM (
+  SELECT b.horizon, b.model_name, b.x, b.id,
+    min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) OVER (
+      PARTITION BY b.horizon, b.model_name, a.id ORDER BY b.id DESC
+      ROWS UNBOUNDED PRECEDING) AS lowest
+  FROM pts_{_p} a JOIN pts_{_p} b ON a.horizon = b.horizon
+    AND a.model_name = b.model_name AND b.id >= a.id) GROUP BY ALL""")
+
+
+def calibrated(spark, sf) -> DataFrame:
+    """Curves fitted per horizon and model on validation rows, applied to all."""
+    rows = predictions(spark, sf)
+    out = None
+    for horizon in ("1d", "5d"):
+        for model in RULES:
+            df = rows.where((C("horizon") == horizon) & (C("model_name") == model))
+            cal = calibration.fit_calibrator(df.where("split = 'val'"),
+                                             {-1: "p_down", 1: "p_up"})
+            scored = cal.transform(df)
+            out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 @query("calibrated_validation", "C1", f"""
-SELECT e.symbol, e.date, {r('d.fit / greatest(d.fit + u.fit, 1e-9)', 6, 'p_down')},
+SELECT e.symbol, e.date, e.horizon, e.model_name,
+  {r('d.fit / greatest(d.fit + u.fit, 1e-9)', 6, 'p_down')},
   {r('u.fit / greatest(d.fit + u.fit, 1e-9)', 6, 'p_up')}
-FROM eval e JOIN ({_iso('p_down', -1)}) d ON d.x = e.p_down
-JOIN ({_iso('p_up', 1)}) u ON u.x = e.p_up
-WHERE e.split = 'val' AND e.horizon = '1d' AND e.model_name = 'rsi' AND e.symbol = 'SPY'""")
+FROM preds e JOIN fit_p_down d ON d.horizon = e.horizon AND d.model_name = e.model_name
+  AND d.x = e.p_down
+JOIN fit_p_up u ON u.horizon = e.horizon AND u.model_name = e.model_name AND u.x = e.p_up
+WHERE e.split = 'val' AND e.y_true IS NOT NULL""")
 def calibrated_validation(spark, sf):
-    df = calibrated(spark, sf, "horizon = '1d' AND model_name = 'rsi'"
-                               " AND symbol = 'SPY' AND y_true IS NOT NULL")
-    return round_frame(df.where("split = 'val'").select(*KEY, "p_down", "p_up"))
+    df = calibrated(spark, sf).where("split = 'val' AND y_true IS NOT NULL")
+    return round_frame(df.select(*KEY, *BY, "p_down", "p_up"))
 
 
 @query("calibrated_predictions", "C1")
 def calibrated_predictions(spark, sf):
-    return round_frame(calibrated(
-        spark, sf, "horizon = '5d' AND model_name = 'momentum'").select(
-            *KEY, "split", "p_down", "p_up"))
+    return round_frame(calibrated(spark, sf).select(
+        *KEY, *BYS, "p_down", "p_up"))
 
 
 # --- summaries and reports --------------------------------------------------------------
@@ -492,11 +496,12 @@ _IMP = ["rsi_14", "vol_20", "sma_200", "vix_level", "dgs10", "rsp_spy_ratio"]
 
 
 @query("median_imputation", "D4", "SELECT symbol, date, " + ", ".join(
-    r(f"coalesce(d.{c}, (SELECT median({c}) FROM train1))", 6, c) for c in _IMP)
+    r(f"coalesce(d.{c}, (SELECT median({c}) FROM train1))", PLACES.get(c, 6), c)
+    for c in _IMP)
     + " FROM dataset d JOIN lab l USING (symbol, date) WHERE l.y_class_1d IS NOT NULL")
 def median_imputation(spark, sf):
     prep = P.Preprocessor(drop_threshold=1.0).fit(_train(spark, sf), _IMP)
-    return round_frame(prep.transform(_dataset(spark, sf).select(*KEY, *_IMP)))
+    return round_frame(prep.transform(_dataset(spark, sf).select(*KEY, *_IMP)), PLACES)
 
 
 @query("standard_scaling", "D5", "SELECT symbol, date, " + ", ".join(
