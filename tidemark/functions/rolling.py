@@ -80,11 +80,24 @@ class Series:
         value = _col(value)
         return self._gated(value, F.percentile(value, q), width)
 
+    def correlation(self, left, right, frame) -> Column:
+        """Pearson correlation over a frame; NULL when either side is constant.
+
+        The built-in ``corr`` raises on a constant side under ANSI rules.
+        """
+        left, right = _col(left), _col(right)
+        joint = left.isNotNull() & right.isNotNull()
+        spread = (F.stddev_pop(F.when(joint, left)).over(frame)
+                  * F.stddev_pop(F.when(joint, right)).over(frame))
+        return safe_div(F.covar_pop(left, right).over(frame), spread)
+
     def corr(self, left, right, width: int) -> Column:
-        """Pearson correlation once the frame holds ``width`` joint values."""
+        """Correlation once the frame holds ``width`` joint values."""
         left, right = _col(left), _col(right)
-        both = F.when(left.isNotNull() & right.isNotNull(), 1)
-        return self._gated(both, F.corr(left, right), width)
+        frame = self.frame(width)
+        joint = F.when(left.isNotNull() & right.isNotNull(), 1)
+        return F.when(F.count(joint).over(frame) >= width,
+                      self.correlation(left, right, frame))
 
     def cumulative(self, value) -> Column:
         return F.sum(_col(value)).over(self.so_far)

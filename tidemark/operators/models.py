@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
@@ -78,19 +79,26 @@ def train(train_df: DataFrame, features: list[str], target: str, name: str,
     Classes map to label indices in ascending order; balanced class weights
     enter through the weight column.
     """
-    prep = Preprocessor(scaling=name == "logistic_regression").fit(train_df, features)
-    rows = prep.transform(train_df.where(C(target).isin(list(classes))))
-    index = F.lit(None).cast("double")
-    for i, k in enumerate(classes):
-        index = F.when(C(target) == k, float(i)).otherwise(index)
-    rows = rows.withColumn("label", index)
-    params = {**MODEL_PARAMS[name], **overrides}
-    if weighted:
-        rows = with_class_weights(rows, target)
-        params["weightCol"] = "weight"
-    if name == "logistic_regression":
-        # unit inverse regularisation over the summed loss
-        params.setdefault("regParam", 1.0 / max(rows.count(), 1))
-    assembler = VectorAssembler(inputCols=prep.kept, outputCol="features")
-    fitted = Pipeline(stages=[assembler, _FAMILIES[name](**params)]).fit(rows)
+    # every fitting pass rereads the training rows: parse them once
+    train_df = train_df.select(*features, target).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        prep = Preprocessor(scaling=name == "logistic_regression").fit(
+            train_df, features)
+        rows = prep.transform(train_df.where(C(target).isin(list(classes))))
+        index = F.lit(None).cast("double")
+        for i, k in enumerate(classes):
+            index = F.when(C(target) == k, float(i)).otherwise(index)
+        rows = rows.withColumn("label", index)
+        params = {**MODEL_PARAMS[name], **overrides}
+        if weighted:
+            rows = with_class_weights(rows, target)
+            params["weightCol"] = "weight"
+        if name == "logistic_regression":
+            # unit inverse regularisation over the summed loss
+            params.setdefault("regParam", 1.0 / max(rows.count(), 1))
+        assembler = VectorAssembler(inputCols=prep.kept, outputCol="features")
+        fitted = Pipeline(stages=[assembler, _FAMILIES[name](**params)]).fit(rows)
+    finally:
+        train_df.unpersist()
     return TrainedModel(name, target, prep, fitted, list(classes))

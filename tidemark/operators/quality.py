@@ -113,7 +113,8 @@ def class_domain(df: DataFrame, target: str, allowed=(-1, 0, 1)) -> DataFrame:
 
 
 def _share(target: str, k: int) -> Column:
-    return 100.0 * F.sum((C(target) == k).cast("long")) / F.count(target)
+    return 100.0 * F.try_divide(F.sum((C(target) == k).cast("long")),
+                                F.count(target))
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:

@@ -42,7 +42,7 @@ def horizon_improvement(summary: DataFrame, short="1d", long="5d") -> DataFrame:
     def mean(h):
         return F.avg(F.when(C("horizon") == h, C("test_accuracy")))
 
-    return summary.agg(((mean(long) - mean(short)) / mean(short) * 100)
+    return summary.agg((F.try_divide(mean(long) - mean(short), mean(short)) * 100)
                        .alias("improvement_pct"))
 
 

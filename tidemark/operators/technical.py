@@ -120,7 +120,7 @@ def return_autocorr(window: int = 20, s: Series = BY_SYMBOL):
     pairs = s.frame(window - 1)
     enough = F.count("log_ret_1d").over(s.frame(window)) >= window
     return {f"return_autocorr_{window}":
-            F.when(enough, F.corr("log_ret_1d", "_prev_ret").over(pairs))}
+            F.when(enough, s.correlation("log_ret_1d", "_prev_ret", pairs))}
 
 
 def price_rsquared(window: int = 20, s: Series = BY_SYMBOL):

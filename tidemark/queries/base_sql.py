@@ -70,9 +70,11 @@ def roll(fn: str, x: str, width: int, need: int | None = None,
     """Aggregate over the last ``width`` rows once ``need`` are non-null."""
     frame = f"ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW"
     w = over(part, "date", frame)
-    call = fn.replace("$", x) if "$" in fn else f"{fn}({x})"
+    call = f"{fn.replace('$', x) if '$' in fn else f'{fn}({x})'} {w}"
+    if fn.startswith("corr"):     # a constant side is undefined, not NaN
+        call = f"CASE WHEN isnan({call}) THEN NULL ELSE {call} END"
     return (f"CASE WHEN count({gate or x}) {w} >= {need or width}"
-            f" THEN {call} {w} END")
+            f" THEN {call} END")
 
 
 def pct(x: str, n: int, shift: int = 0, part: str = "") -> str:
@@ -188,8 +190,7 @@ SELECT *,
   greatest(-1e0, least(1e0, overnight_return
      / (abs(overnight_return) + abs(intraday_return) + 1e-6))) AS share_all,
   CASE WHEN count(log_ret_1d) {over(frame='ROWS BETWEEN 19 PRECEDING AND CURRENT ROW')} = 20
-       THEN corr(log_ret_1d, prev_ret) {over(frame='ROWS BETWEEN 18 PRECEDING AND CURRENT ROW')}
-       END AS return_autocorr_20,
+       THEN {roll('corr($, prev_ret)', 'log_ret_1d', 19)} END AS return_autocorr_20,
   {roll('regr_r2($, rn)', 'close', 20)} AS fit,
   {roll('var_pop', 'close', 20)} * 20 AS spread
 FROM t1""")

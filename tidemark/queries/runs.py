@@ -181,7 +181,8 @@ def _probabilities(name):
     return run
 
 
-for _name, _ids in (("logistic_regression", "T1"), ("random_forest", "T2")):
+for _name, _ids in (("logistic_regression", "T1"), ("random_forest", "T2"),
+                    ("lightgbm", "T3"), ("xgboost", "T4")):
     query(f"{_name}_probabilities", _ids)(_probabilities(_name))
 
 
