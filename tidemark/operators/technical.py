@@ -142,26 +142,46 @@ def _directional_index() -> Column:
 HELPERS = ["_gain", "_loss", "_prev_ret", "_rn", "macd_line", "macd_signal", "_dx"]
 
 
+SMOOTHED = {"ema_20", "ema_50", "macd_hist", "adx_14"}
+
+
+def _smoothed(df: DataFrame, s: Series, wanted: set[str]) -> DataFrame:
+    """EMA-based indicators; two chained passes for MACD and ADX."""
+    first = {n: ("close", int(n[4:])) for n in ("ema_20", "ema_50") if n in wanted}
+    second, lines = {}, {}
+    if "macd_hist" in wanted:
+        first |= {"_ema_fast": ("close", 12), "_ema_slow": ("close", 26)}
+        lines["macd_line"] = C("_ema_fast") - C("_ema_slow")
+        second["macd_signal"] = ("macd_line", 9)
+    if "adx_14" in wanted:
+        first |= {"_tr_ema": ("tr", 14), "_up_ema": ("_dm_up", 14),
+                  "_down_ema": ("_dm_down", 14)}
+        lines["_dx"] = _directional_index()
+        second["adx_14"] = ("_dx", 14)
+    df = with_ema(df, s, first)
+    if not second:
+        return df
+    df = df.withColumns(lines).drop("_ema_fast", "_ema_slow", "_tr_ema", "_up_ema",
+                                    "_down_ema")
+    df = with_ema(df, s, second)
+    if "macd_hist" in wanted:
+        df = df.withColumn("macd_hist", C("macd_line") - C("macd_signal"))
+    return df
+
+
 def technical_features(bars: DataFrame, s: Series = BY_SYMBOL,
-                       keep_macd: bool = False) -> DataFrame:
+                       keep_macd: bool = False, wanted=None) -> DataFrame:
     """The full technical set next to the bar columns.
 
-    Unused outputs are pruned by Catalyst, so callers select what they need.
+    ``wanted`` names the outputs a caller needs: smoothed indicators outside it
+    are not planned at all, everything else unused is pruned by Catalyst.
     """
-    # smoothed indicators first, while rows are narrow
+    wanted = SMOOTHED if wanted is None else SMOOTHED & set(wanted)
     df = bars.withColumns(_moves(s))
-    df = with_ema(df, s, {
-        "ema_20": ("close", 20), "ema_50": ("close", 50),
-        "_ema_fast": ("close", 12), "_ema_slow": ("close", 26),
-        "_tr_ema": ("tr", 14), "_up_ema": ("_dm_up", 14),
-        "_down_ema": ("_dm_down", 14)})
-    df = df.withColumns({"macd_line": C("_ema_fast") - C("_ema_slow"),
-                         "_dx": _directional_index()})
-    df = df.drop("_dm_up", "_dm_down", "_ema_fast", "_ema_slow", "_tr_ema",
-                 "_up_ema", "_down_ema")
-    df = with_ema(df, s, {"macd_signal": ("macd_line", 9), "adx_14": ("_dx", 14)})
-    df = df.withColumns({
-        "macd_hist": C("macd_line") - C("macd_signal"),
+    if wanted:
+        # smoothed indicators first, while rows are narrow
+        df = _smoothed(df, s, wanted)
+    df = df.drop("_dm_up", "_dm_down").withColumns({
         **log_returns(s=s), **moving_averages(s=s), **drawdowns(s=s),
         **price_ranges(), **volume_features(s), **calendar_features(s),
         **rsi(s=s), **atr(s=s), **session_features(s=s), **price_rsquared(s=s)})
@@ -172,6 +192,11 @@ def technical_features(bars: DataFrame, s: Series = BY_SYMBOL,
     return df.drop(*drop)
 
 
+def realized_vol_20(bars: DataFrame, s: Series = BY_SYMBOL) -> DataFrame:
+    """Bars with ``vol_20`` alone, the one feature labels depend on."""
+    return bars.withColumns(log_returns((1,), s)).withColumns(realized_vol((20,), s))
+
+
 def window_set(bars: DataFrame, widths: FeatureWindows | None = None,
                s: Series = BY_SYMBOL) -> DataFrame:
     """Every width of the parametric lists, including those usually pruned."""

@@ -19,6 +19,7 @@ from ..operators.calendars import build_events, full_events, next_trading_day
 from ..operators.feature_store import pack_features
 from ..operators.macro import macro_daily, merge_latest
 from ..operators.targets import build_labels
+from ..operators.technical import realized_vol_20
 from ..sources.files import date_range
 from ..sources.keyed import KeyedTable
 from .feature_build import Inputs, build_features
@@ -124,7 +125,9 @@ def run_etl(spark: SparkSession, store: Store, feeds: Feeds, end: date,
         events=events))
     store.features.merge(pack_features(features.where(F.col("date") >= F.lit(start))))
 
-    labels = build_labels(features).where(F.col("date") >= F.lit(start))
+    # labels need closes and one volatility column, not the feature plan
+    etf = store.bars.read(since, end).where(F.col("symbol").isin(cfg.ETF_SYMBOLS))
+    labels = build_labels(realized_vol_20(etf)).where(F.col("date") >= F.lit(start))
     store.labels.merge(labels.drop(*OUTCOMES))
     store.bars.merge(labels.select("symbol", "date", *OUTCOMES), columns=OUTCOMES)
     return window

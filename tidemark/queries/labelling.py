@@ -16,7 +16,7 @@ C = F.col
 
 
 def labels(spark, sf, **kw):
-    return L.build_labels(T.technical_features(market.etf_bars(spark, sf)), **kw)
+    return L.build_labels(T.realized_vol_20(market.etf_bars(spark, sf)), **kw)
 
 
 def _label_query(name, ids, doubles, ints=(), digits=6):
@@ -93,7 +93,7 @@ def labelled_rows(spark, sf):
 SELECT symbol, date, {r('CASE WHEN vol_20 > 0 THEN y_1d_raw / vol_20 END', 6, 'scaled')}
 FROM l2""")
 def guarded_vol_scaling(spark, sf):
-    tech = T.technical_features(market.etf_bars(spark, sf))
+    tech = T.realized_vol_20(market.etf_bars(spark, sf))
     df = tech.select(*KEY, "vol_20").join(
         labels(spark, sf).select(*KEY, "y_1d_raw"), KEY)
     return S.round_frame(df.select(*KEY, S.vol_scaled(

@@ -28,7 +28,7 @@ DIGITS = {"": 6, "sma_5": 7, "sma_10": 7, "sma_20": 7, "sma_50": 7, "sma_200": 7
 def _technical(names):
     """Selected technical columns; Catalyst prunes every other window."""
     def run(spark, sf):
-        df = T.technical_features(market.etf_bars(spark, sf))
+        df = T.technical_features(market.etf_bars(spark, sf), wanted=names)
         return round_frame(df.select(*KEY, *names), DIGITS)
     return run
 
@@ -167,7 +167,7 @@ def _z(c):
 SELECT symbol, date, {', '.join(_z(c) for c in _NORM)}, {r('vol_20', 5, 'vol_20')},
   {r('overnight_share', 5, 'overnight_share')}, dow FROM t3""")
 def normalised_features(spark, sf):
-    df = T.technical_features(market.etf_bars(spark, sf)).select(
+    df = T.technical_features(market.etf_bars(spark, sf), wanted=_NORM).select(
         *KEY, *_NORM, "vol_20", "overnight_share", "dow")
     return round_frame(normalise(df), 5)
 
