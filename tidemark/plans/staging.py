@@ -14,15 +14,16 @@ from pyspark.sql import SparkSession
 from .. import config as cfg
 from ..session import scratch_path
 from ..sources import market
+from ..sources.keyed import stage
 from .etl import Feeds, Store, run_etl
 
 _STORES: dict[tuple[str, str], str] = {}
 
 
 def feeds(spark: SparkSession, sf_dir: str) -> Feeds:
+    calendar = stage(spark, market.trading_calendar(spark, sf_dir), "calendar")
     return Feeds(bars=market.daily_bars(spark, sf_dir),
-                 macro=market.macro_raw(spark, sf_dir),
-                 calendar=market.trading_calendar(spark, sf_dir),
+                 macro=market.macro_raw(spark, sf_dir), calendar=calendar,
                  event_shift_days=cfg.FIXTURE_EVENT_SHIFT_DAYS)
 
 

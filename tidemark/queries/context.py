@@ -15,6 +15,7 @@ from ..operators import regimes as G
 from ..plans.feature_build import Inputs, build_features, with_context
 from ..operators.technical import BY_SYMBOL
 from ..sources import market
+from ..sources.keyed import stage
 from .base_sql import _MACRO_OUT, last_in, over, r, rs
 from .registry import query
 
@@ -33,15 +34,24 @@ def _daily(spark, sf):
 
 
 def _events(spark, sf):
+    return _events_in(spark, _cal(spark, sf))
+
+
+def _events_in(spark, calendar):
     """Fixed releases inside the calendar's own range."""
-    span = _cal(spark, sf).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    span = calendar.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     fixed = K.fixed_events(spark, shift_days=cfg.FIXTURE_EVENT_SHIFT_DAYS)
     return (fixed.join(F.broadcast(span), F.col("date").between(
         F.col("lo"), F.col("hi"))).drop("lo", "hi"))
 
 
 def inputs(spark, sf):
-    return Inputs(market.daily_bars(spark, sf), _daily(spark, sf), _events(spark, sf))
+    """Bars are used by several branches: reduce the raw rows once, then read
+    the daily rows back.  Their dates are the trading calendar."""
+    bars = stage(spark, market.daily_bars(spark, sf), "bars")
+    calendar = bars.select("date").distinct()
+    return Inputs(bars, M.macro_daily(market.macro_raw(spark, sf), calendar),
+                  _events_in(spark, calendar))
 
 
 # --- calendar lookups ------------------------------------------------------------

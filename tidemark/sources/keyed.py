@@ -103,7 +103,7 @@ class KeyedTable:
         if not self.exists():
             self._write(new)
             return
-        staged_new = _stage(self.spark, new, "batch")
+        staged_new = stage(self.spark, new, "batch")
         years = [row.y for row in staged_new.select(
             F.year(self.date_column).alias("y")).distinct().collect()]
         if not years:
@@ -112,7 +112,7 @@ class KeyedTable:
                .where(F.col("year").isin(years)).drop("year"))
         merged = (upsert(old, staged_new, self.keys) if columns is None
                   else upsert_columns(old, staged_new, self.keys, columns))
-        self._write(_stage(self.spark, merged, "merge"))
+        self._write(stage(self.spark, merged, "merge"))
 
     def clear(self) -> None:
         """Remove all rows, keeping the schema and the location."""
@@ -123,7 +123,8 @@ class KeyedTable:
          .parquet(self.path))
 
 
-def _stage(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def stage(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, computes once."""
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.parquet(path)
