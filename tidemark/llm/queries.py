@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash, records, toxicity
+from tidemark.llm import containment, minhash, records, toxicity
 from tidemark.llm.base import table
 from tidemark.llm.catalog import register
 
@@ -49,3 +49,23 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out))
     return scores.select("doc_id", held_out.alias("held_out"), "score",
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@register("op9_benchmark_items", r"""
+WITH raw AS (SELECT doc_id AS id, true AS doc, text FROM documents
+             UNION ALL SELECT item_id, false, text FROM benchmark),
+w AS (SELECT id, doc, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM raw WHERE id IS NOT NULL),
+s AS (SELECT id, doc, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE [w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]
+              for i in range(1, len(w) - 3)] END) AS s FROM w),
+t AS (SELECT id, doc, len(s) AS n, unnest(s) AS t FROM s),
+p AS (SELECT d.id AS doc_id, b.id AS item_id, any_value(b.n) AS item_shingles, count(*) AS shared
+      FROM t d JOIN t b ON d.doc AND NOT b.doc AND d.t = b.t GROUP BY ALL)
+SELECT doc_id, item_id, item_shingles::BIGINT AS item_shingles, shared::BIGINT AS shared,
+       shared / item_shingles AS containment
+FROM p WHERE shared * 100 >= item_shingles * 80
+""")
+def op9_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
