@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import containment, minhash, records, toxicity
+from tidemark.llm import containment, minhash, mixing, records, toxicity
 from tidemark.llm.base import table
 from tidemark.llm.catalog import register
 
@@ -69,3 +69,10 @@ FROM p WHERE shared * 100 >= item_shingles * 80
 """)
 def op9_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op4_mix_sources")
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mixed_copies(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "size", "source_size", "target",
+                        (F.col("copies") * F.col("size")).alias("taken"))
