@@ -44,7 +44,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    held_out = toxicity.held_out(F.col("doc_id"))
     scores = toxicity.toxicity_scores(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out))
     return scores.select("doc_id", held_out.alias("held_out"), "score",
@@ -76,3 +76,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.mixed_copies(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target",
                         (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

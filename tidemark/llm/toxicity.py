@@ -19,7 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import ready
@@ -207,6 +207,11 @@ def beginnings(word: str) -> Iterator[str]:
         yield word + "$"
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are never learnt from: crc32 of the id as text, mod 3, is 1."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
 def _features(model: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that hold a feature, toxic and other, of a task's rows."""
     reader, counts = Reader(model), (Counter(), Counter())
