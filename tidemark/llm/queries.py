@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import containment, minhash, mixing, records, toxicity
+from tidemark.llm import containment, licenses, minhash, mixing, records, toxicity
 from tidemark.llm.base import table
 from tidemark.llm.catalog import register
 
@@ -83,3 +83,33 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+def license_sql() -> str:
+    rows = ", ".join(f"('{t.label}', {t.phrase}, string_split('{t.text}', ' '))" for t in licenses.TEMPLATES)
+    return rf"""
+WITH t AS (SELECT label, phrase, seq, list_distinct(seq) AS s FROM (VALUES {rows}) AS v(label, phrase, seq)),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(seq)] = seq)) AS pos
+      FROM w JOIN t ON phrase AND list_has_all(w, seq)),
+b AS (SELECT doc_id, w[f + 1:f + {licenses.BLOCK}] AS b FROM (
+        SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), {licenses.STEP})) AS f FROM w)),
+c AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), s)) / len(s) AS share,
+             len(list_intersect(list_distinct(b), s)) * 100 >= len(s) * {licenses.CONTAINED} AS fits
+      FROM b JOIN t ON NOT phrase),
+m AS (SELECT doc_id, label, 1.0::DOUBLE AS share, pos FROM p UNION ALL
+      SELECT doc_id, label, share, NULL FROM c WHERE fits),
+g AS (SELECT doc_id, count(pos) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+             array_to_string(list_sort(list_distinct(list(label) FILTER (pos IS NOT NULL))), ',') AS base_labels,
+             array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score
+      FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM w LEFT JOIN g USING (doc_id)"""
+
+
+@register("op1_license_scan", license_sql())
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_summary(table(spark, sf_dir, "documents"))
