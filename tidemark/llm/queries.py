@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import containment, licenses, minhash, mixing, records, toxicity
+from tidemark.llm import containment, licenses, minhash, mixing, records, toxicity, urls
 from tidemark.llm.base import table
 from tidemark.llm.catalog import register
 
@@ -113,3 +113,8 @@ FROM w LEFT JOIN g USING (doc_id)"""
 @register("op1_license_scan", license_sql())
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_summary(table(spark, sf_dir, "documents"))
+
+
+@register("op5_url_filter")
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged_urls(table(spark, sf_dir, "pages"))
