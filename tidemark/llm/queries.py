@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import containment, licenses, minhash, mixing, records, toxicity, urls
+from tidemark.llm import containment, licenses, minhash, mixing, records, secrets, toxicity, urls
 from tidemark.llm.base import table
 from tidemark.llm.catalog import register
 
@@ -118,3 +118,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_url_filter")
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged_urls(table(spark, sf_dir, "pages"))
+
+
+@register("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    spans = F.arrays_zip("kinds", "starts", "ends")
+    text = lambda a: F.array_join(F.transform(
+        a, lambda s: F.concat_ws(":", s["kinds"], s["starts"], s["ends"])), ",")
+    number = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"),
+        F.sha2(text(F.filter(spans, lambda s: s["kinds"] != "format")), 256).alias("base_sha256"),
+        text(spans).alias("spans"))
