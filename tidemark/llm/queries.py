@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import containment, licenses, minhash, mixing, records, secrets, toxicity, urls
+from tidemark.llm import containment, licenses, minhash, mixing, records, secrets, syncmers, toxicity, urls
 from tidemark.llm.base import table
 from tidemark.llm.catalog import register
 
@@ -131,3 +131,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", number("assign"), number("access"), number("hex"),
         F.sha2(text(F.filter(spans, lambda s: s["kinds"] != "format")), 256).alias("base_sha256"),
         text(spans).alias("spans"))
+
+
+@register("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
