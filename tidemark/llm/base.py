@@ -47,3 +47,11 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs whose results have been stored."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import containment, licenses, minhash, mixing, records, secrets, syncmers, toxicity, urls
+from tidemark.llm import containment, licenses, minhash, mixing, records, repeats, secrets, syncmers, toxicity, urls
 from tidemark.llm.base import table
 from tidemark.llm.catalog import register
 
@@ -136,3 +136,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_fingerprints")
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register("op2_repeated_strings")
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_repeats(table(spark, sf_dir, "documents"))
