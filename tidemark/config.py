@@ -244,7 +244,7 @@ Y_THRESHOLD = 0.002          # legacy "meaningful move" label
 BARRIER = 0.25               # triple-barrier class, in units of volatility
 TARGET_CLIP = 3.0
 WARMUP_DAYS = 252
-LOOKBACK_DAYS = 365
+RENEWED_DAYS = 28            # days before a run that a late observation can reach
 MAX_GAP_DAYS = 7             # staleness limit of a macro observation
 FILL_LIMIT_ROWS = 5          # bounded fill on joined rows
 DEFAULT_START = date(2015, 1, 1)

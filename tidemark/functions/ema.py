@@ -46,14 +46,18 @@ def plan_passes(rows: int) -> tuple[int, int]:
 
 
 def with_ema(df: DataFrame, series: Series,
-             targets: dict[str, tuple[str, int]]) -> DataFrame:
+             targets: dict[str, tuple[str, int]], gaps: bool = False) -> DataFrame:
     """Add EMA columns: ``targets`` maps output name -> (input column, span).
 
-    All targets advance together, one Window operator per pass.  Inputs are
-    expected to be non-null (a missing value weighs as 0); seeds and LAG
-    defaults are therefore never null, which keeps the generated projection
-    small enough for the JIT even with many targets.
+    All targets advance together, one Window operator per pass.  Without
+    ``gaps`` inputs must be non-null; seeds and LAG defaults are therefore
+    never null, which keeps the generated projection small enough for the JIT
+    even with many targets.  Inputs that may be null need ``gaps``.
     """
+    if gaps:
+        for out, (src, span) in targets.items():
+            df = _with_gapped_ema(df, series, out, src, span)
+        return df
     keys = ", ".join(series.keys) or "0"
     over = f"OVER (PARTITION BY {keys} ORDER BY {series.order})"
     df = df.withColumns({
@@ -70,6 +74,39 @@ def with_ema(df: DataFrame, series: Series,
     return df
 
 
+def _with_gapped_ema(df: DataFrame, series: Series, out: str, src: str,
+                     span: int) -> DataFrame:
+    """EMA of a column with missing values.
+
+    A missing value carries the average on; the next observation, g rows after
+    the one before, weighs alpha against d^g.  Observed rows are thus a chain of
+    maps  e -> A e + B  with A = d^g / (d^g + alpha) and B = alpha x / (d^g + alpha),
+    and the passes compose maps instead of adding weighted values.  They run over
+    the observed rows alone, so a gap takes no part of the covered span.
+    """
+    d = decay(span)
+    keys = ", ".join(series.keys) or "0"
+    every = f"OVER (PARTITION BY {keys} ORDER BY {series.order})"
+    over = f"OVER (PARTITION BY {keys}, {src} IS NULL ORDER BY {series.order})"
+    weight = f"pow({d!r}D, _at - lag(_at) {over})"
+    df = df.withColumn("_at", F.expr(f"row_number() {every}"))
+    df = df.withColumns({
+        "_a": F.expr(f"coalesce({weight} / ({weight} + {1.0 - d!r}D), 0D)"),
+        "_b": F.expr(f"CASE WHEN {src} IS NULL THEN 0D ELSE"
+                     f" {src} * coalesce({1.0 - d!r}D / ({weight} + {1.0 - d!r}D), 1D) END")})
+    passes, radix = plan_passes(rows_needed(span))
+    for level in range(passes):
+        step = radix ** level
+        product, terms = "1D", []
+        for i in range(radix):
+            terms.append(f"({product}) * lag(_b, {i * step}, 0D) {over}")
+            product = f"{product} * lag(_a, {i * step}, 0D) {over}"
+        df = df.withColumns({"_b": F.expr(" + ".join(terms)), "_a": F.expr(product)})
+    known = F.when(F.col(src).isNotNull(), F.col("_b"))
+    return (df.withColumn(out, F.last(known, ignorenulls=True).over(series.so_far))
+            .drop("_at", "_a", "_b"))
+
+
 def _pass_sql(name: str, d: float, step: int, radix: int, over: str) -> str:
     """One pass as SQL text: the mechanical part of the sum above."""
     terms = [name]

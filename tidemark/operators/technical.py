@@ -145,7 +145,7 @@ HELPERS = ["_gain", "_loss", "_prev_ret", "_rn", "macd_line", "macd_signal", "_d
 SMOOTHED = {"ema_20", "ema_50", "macd_hist", "adx_14"}
 
 
-def _smoothed(df: DataFrame, s: Series, wanted: set[str]) -> DataFrame:
+def _smoothed(df: DataFrame, s: Series, wanted: set[str], gaps: bool) -> DataFrame:
     """EMA-based indicators; two chained passes for MACD and ADX."""
     first = {n: ("close", int(n[4:])) for n in ("ema_20", "ema_50") if n in wanted}
     second, lines = {}, {}
@@ -158,29 +158,30 @@ def _smoothed(df: DataFrame, s: Series, wanted: set[str]) -> DataFrame:
                   "_down_ema": ("_dm_down", 14)}
         lines["_dx"] = _directional_index()
         second["adx_14"] = ("_dx", 14)
-    df = with_ema(df, s, first)
+    df = with_ema(df, s, first, gaps)
     if not second:
         return df
     df = df.withColumns(lines).drop("_ema_fast", "_ema_slow", "_tr_ema", "_up_ema",
                                     "_down_ema")
-    df = with_ema(df, s, second)
+    df = with_ema(df, s, second, gaps)
     if "macd_hist" in wanted:
         df = df.withColumn("macd_hist", C("macd_line") - C("macd_signal"))
     return df
 
 
 def technical_features(bars: DataFrame, s: Series = BY_SYMBOL,
-                       keep_macd: bool = False, wanted=None) -> DataFrame:
+                       keep_macd: bool = False, wanted=None, gaps: bool = False) -> DataFrame:
     """The full technical set next to the bar columns.
 
     ``wanted`` names the outputs a caller needs: smoothed indicators outside it
     are not planned at all, everything else unused is pruned by Catalyst.
+    ``gaps``: prices may be missing; smoothed indicators then carry over them.
     """
     wanted = SMOOTHED if wanted is None else SMOOTHED & set(wanted)
     df = bars.withColumns(_moves(s))
     if wanted:
         # smoothed indicators first, while rows are narrow
-        df = _smoothed(df, s, wanted)
+        df = _smoothed(df, s, wanted, gaps)
     df = df.drop("_dm_up", "_dm_down").withColumns({
         **log_returns(s=s), **moving_averages(s=s), **drawdowns(s=s),
         **price_ranges(), **volume_features(s), **calendar_features(s),
@@ -198,11 +199,11 @@ def realized_vol_20(bars: DataFrame, s: Series = BY_SYMBOL) -> DataFrame:
 
 
 def window_set(bars: DataFrame, widths: FeatureWindows | None = None,
-               s: Series = BY_SYMBOL) -> DataFrame:
+               s: Series = BY_SYMBOL, gaps: bool = False) -> DataFrame:
     """Every width of the parametric lists, including those usually pruned."""
     widths = widths or FeatureWindows()
     df = bars.withColumns({
         **log_returns(sorted({1, *widths.returns}), s),
         **moving_averages(widths.sma, s), **drawdowns(widths.drawdown, s)})
     df = df.withColumns(realized_vol(widths.volatility, s))
-    return with_ema(df, s, {f"ema_{n}": ("close", n) for n in widths.ema})
+    return with_ema(df, s, {f"ema_{n}": ("close", n) for n in widths.ema}, gaps)

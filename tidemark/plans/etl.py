@@ -1,8 +1,13 @@
 """Backfill and incremental runs over the stored tables.
 
 A run resolves its date range from the stored high-water mark, merges the new
-raw rows, recomputes features over a bounded lookback and upserts only rows at
-or after the start.  One plan serves all symbols.
+raw rows and derives what they change, so that any sequence of runs leaves what
+one backfill would: features from shortly before the start, as a late macro
+observation fills days before it; labels of every row, as their clip follows the
+deviation of the whole series; outcomes of the rows whose outcome was open; and
+calendar events of the quarter that was open.  Features and labels read a
+series' whole stored history (one row per trading day), since averages, volume
+sums and deviations depend on its first row.  One plan serves all symbols.
 """
 
 from __future__ import annotations
@@ -15,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as cfg
-from ..operators.calendars import build_events, full_events, next_trading_day
+from ..operators.calendars import fixed_events, full_events
 from ..operators.feature_store import pack_features
-from ..operators.macro import macro_daily, merge_latest
-from ..operators.targets import build_labels
-from ..operators.technical import realized_vol_20
+from ..operators.macro import macro_daily
+from ..operators.targets import HORIZONS, build_labels
+from ..operators.technical import BY_SYMBOL, realized_vol_20
 from ..sources.files import date_range
-from ..sources.keyed import KeyedTable
+from ..sources.keyed import KeyedTable, staged
 from .feature_build import Inputs, build_features
 
 OUTCOMES = ["outcome_price_1d", "outcome_price_5d"]
@@ -109,42 +114,48 @@ def run_etl(spark: SparkSession, store: Store, feeds: Feeds, end: date,
     window = resolve_window(store, feeds.calendar, end, start, mode)
     if window is None:
         return None
-    start, context = window.start, window.start - timedelta(days=cfg.LOOKBACK_DAYS)
-    calendar = feeds.calendar
+    start, calendar = window.start, feeds.calendar
+    renewed = start - timedelta(days=cfg.RENEWED_DAYS) if window.mode == "incremental" else start
 
     store.bars.merge(date_range(feeds.bars, start, end))
-    fresh = macro_daily(date_range(feeds.macro, start, end), calendar)
-    store.macro.merge(date_range(fresh, start, end))
-    events = build_events(spark, context, end, feeds.event_shift_days)
-    store.events.merge(full_events(spark, date_range(calendar, start, end),
-                                   start, end, feeds.event_shift_days))
-
-    since = context if window.mode == "incremental" else start
+    seen = date_range(feeds.macro, renewed - timedelta(days=cfg.RENEWED_DAYS), end)
+    store.macro.merge(date_range(macro_daily(seen, calendar), renewed, end))
+
+    quarter = date(renewed.year, (renewed.month - 1) // 3 * 3 + 1, 1)
+    since = quarter if window.mode == "incremental" else start
+    if store.events.exists():
+        # the last day of a period that was open may not be its end any more
+        store.events.delete((F.col("date") >= F.lit(since))
+                            & F.col("event_type").isin(cfg.CALENDAR_EVENTS))
+    store.events.merge(full_events(spark, date_range(calendar, since, end),
+                                   since, end, feeds.event_shift_days))
+
+    bars = store.bars.read(None, end)
     features = build_features(Inputs(
-        bars=store.bars.read(since, end), macro=store.macro.read(since, end),
-        events=events))
-    store.features.merge(pack_features(features.where(F.col("date") >= F.lit(start))))
+        bars=bars, macro=store.macro.read(None, end),
+        events=fixed_events(spark, shift_days=feeds.event_shift_days).where(F.col("date") <= F.lit(end))))
+    store.features.merge(pack_features(features.where(F.col("date") >= F.lit(renewed))))
 
     # labels need closes and one volatility column, not the feature plan
-    etf = store.bars.read(since, end).where(F.col("symbol").isin(cfg.ETF_SYMBOLS))
-    labels = build_labels(realized_vol_20(etf)).where(F.col("date") >= F.lit(start))
-    store.labels.merge(labels.drop(*OUTCOMES))
-    store.bars.merge(labels.select("symbol", "date", *OUTCOMES), columns=OUTCOMES)
+    etf = bars.where(F.col("symbol").isin(cfg.ETF_SYMBOLS))
+    with staged(spark, build_labels(realized_vol_20(etf)), "labels") as labels:
+        store.labels.merge(labels.drop(*OUTCOMES))
+        # rows whose outcome was open: fewer later rows than the longest horizon before the start
+        changed = (labels.withColumn("_ahead", BY_SYMBOL.lead("date", max(HORIZONS)))
+                   .where(F.col("_ahead").isNull() | (F.col("_ahead") >= F.lit(start)))
+                   .select("symbol", "date", *OUTCOMES))
+        store.bars.merge(changed, columns=OUTCOMES)
     return window
 
 
-def combine_history(history: DataFrame, new: DataFrame, start: date,
-                    keys: list[str], prefer: str) -> DataFrame:
-    """Stored rows before ``start`` plus the new download, one row per key."""
-    past = history.where(F.col("date") < F.lit(start))
-    return merge_latest(past, new, keys, prefer)
-
-
 def run_daily(spark: SparkSession, store: Store, feeds: Feeds, day: date,
               predict: Callable[[Store], DataFrame] | None = None,
               fallback: Callable[[Store], DataFrame] | None = None,
               force: bool = False) -> str:
-    """ETL, then predictions; placeholders when the model run fails."""
+    """ETL, then predictions; placeholders where there is no trained model.
+
+    ``predict`` raises LookupError if it finds none; all other errors are raised.
+    """
     if not is_run_day(day, force):
         return "weekend"
     run_etl(spark, store, feeds, day)
@@ -153,7 +164,7 @@ def run_daily(spark: SparkSession, store: Store, feeds: Feeds, day: date,
             raise LookupError("no trained model")
         store.predictions.merge(predict(store))
         return "predicted"
-    except Exception:
+    except LookupError:
         if fallback is None:
             raise
         store.predictions.merge(fallback(store))
@@ -161,4 +172,4 @@ def run_daily(spark: SparkSession, store: Store, feeds: Feeds, day: date,
 
 
 __all__ = ["Feeds", "Store", "Window", "run_etl", "run_daily",
-           "resolve_window", "combine_history", "next_trading_day"]
+           "resolve_window"]

@@ -7,9 +7,8 @@ result in the shared folder.
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..session import scratch_path
@@ -30,8 +29,9 @@ def feeds(spark: SparkSession, sf_dir: str) -> Feeds:
 def build_store(spark: SparkSession, sf_dir: str) -> Store:
     """Fresh backfill over the whole input."""
     store = Store(spark, scratch_path(spark, "store"))
-    run_etl(spark, store, feeds(spark, sf_dir), end=date(2001, 12, 31),
-            start=date(1995, 1, 1))
+    source = feeds(spark, sf_dir)
+    first, last = source.calendar.agg(F.min("date"), F.max("date")).first()
+    run_etl(spark, store, source, end=last or cfg.DEFAULT_START, start=first or cfg.DEFAULT_START)
     return store
 
 

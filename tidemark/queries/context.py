@@ -22,7 +22,6 @@ from .registry import query
 KEY = ["symbol", "date"]
 # observations are means of a few cents: ten digits lie beyond exact ties
 FINE = 10
-RANGE = (date(1995, 1, 1), date(2001, 12, 31))
 
 
 def _cal(spark, sf):
@@ -254,19 +253,19 @@ def regime_co_occurrence(spark, sf):
     return G.co_occurrence(_regimes(spark, sf))
 
 
-_OUT = ["log_ret_1d", "vol_20", "rsi_14", "macd_hist", "adx_14", "price_rsq_20",
+OUT = ["log_ret_1d", "vol_20", "rsi_14", "macd_hist", "adx_14", "price_rsq_20",
         "return_autocorr_20", "overnight_share", "volume_z", "dd_60",
         "yield_curve_slope", "hy_oas_change_1d", "fed_balance_sheet_change_pct",
         "rrp_change_pct_5d", "vix_level", "vix_term_structure", "hyg_vs_spy_5d",
         "hyg_spy_corr_20d", "rsp_spy_ratio_z", "qqq_spy_ratio_z", "iwm_spy_ratio_z",
         "log_ret_1d_lag5", "vix_change_1d_lag3", "yield_curve_slope_lag1"]
-_INT = ["sma20_gt_sma50", "dow", "days_since_prev", "is_fomc", *cfg.REGIME_FLAGS]
+INT = ["sma20_gt_sma50", "dow", "days_since_prev", "is_fomc", *cfg.REGIME_FLAGS]
 
 
 @query("full_feature_build", "F1 F2", f"""
-SELECT symbol, date, {rs(_OUT, 4)}, {', '.join(_INT)} FROM feats""")
+SELECT symbol, date, {rs(OUT, 4)}, {', '.join(INT)} FROM feats""")
 def full_feature_build(spark, sf):
     return round_frame(build_features(inputs(spark, sf)).select(
-        *KEY, *_OUT, *_INT), 4)
+        *KEY, *OUT, *INT), 4)
 
 

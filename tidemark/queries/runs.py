@@ -14,11 +14,12 @@ from ..operators import preparation as P
 from ..operators.calendars import next_trading_day
 from ..operators.feature_store import unpack_features
 from ..plans import training as TR
-from ..plans.etl import Store, run_etl
+from ..plans.etl import OUTCOMES, Store, run_daily, run_etl
 from ..plans.staging import build_store, feeds
 from ..session import scratch_path
 from ..sources import files, keyed, market
 from .base_sql import r, rs
+from .context import INT, OUT
 from .registry import query
 from .scoring import predictions
 from .technical import DIGITS
@@ -77,13 +78,31 @@ def partially_upserted_outcomes(spark, sf):
     return round_frame(keyed.upsert_columns(old, new, KEY, ["outcome_price_1d"]))
 
 
-@query("cleared_table", "S12", """
-SELECT (SELECT count(*) FROM dbars) AS rows_before, 0::BIGINT AS rows_after""")
+@query("cleared_table", "S12", f"""
+SELECT symbol, date, {r('close', 6, 'close')}, CAST(NULL AS BIGINT) AS volume FROM dbars
+WHERE date >= DATE '{SPLIT_DAY}'""")
 def cleared_table(spark, sf):
-    bars = market.daily_bars(spark, sf)
-    before = bars.agg(F.count("*").alias("rows_before"))
-    after = keyed.truncate(bars).agg(F.count("*").alias("rows_after"))
-    return before.join(F.broadcast(after), F.lit(True))
+    """Nothing of a cleared table is left: a later batch lacks what was stored."""
+    old, new = _old_new(spark, sf)
+    t = keyed.KeyedTable(spark, scratch_path(spark, "cleared"), KEY)
+    t.merge(old)
+    t.clear()
+    t.merge(new.drop("volume"))
+    return round_frame(t.read().select(*KEY, "close", "volume"))
+
+
+@query("merged_columns", "S8", f"""
+SELECT symbol, date, {r("CASE WHEN date >= DATE '" + SPLIT_DAY + "' THEN close + 2 ELSE close END", 6, 'close')},
+  CASE WHEN date < DATE '2000-07-03' THEN volume END AS volume FROM dbars""")
+def merged_columns(spark, sf):
+    """A batch without a stored column, with every key twice: the later row wins."""
+    old, new = _old_new(spark, sf)
+    batch = new.drop("volume").withColumn("at", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
+        "close", C("close") + C("at"))
+    t = keyed.KeyedTable(spark, scratch_path(spark, "merged"), KEY)
+    t.merge(old)
+    t.merge(keyed.newest_per_key(batch, KEY, "at").drop("at"))
+    return round_frame(t.read().select(*KEY, "close", "volume"))
 
 
 @query("pruned_events", "S13", """
@@ -126,32 +145,111 @@ def dataset_parquet_round_trip(spark, sf):
 
 
 # --- ETL runs ---------------------------------------------------------------------------
-_INC = ["log_ret_1d", "vol_60", "sma_200", "rsi_14", "atr_14", "price_rsq_20", "dd_60"]
+_BORDERS = (date(2001, 3, 14), date(2001, 6, 13))
+_LABELS = ["outcome_price_1d", "outcome_price_5d", "y_1d_raw", "y_5d_raw", "y_1d_vol", "y_5d_vol",
+           "y_1d_clipped", "y_5d_clipped", "y_1d_vol_clip", "y_5d_vol_clip"]
+_CLASSES = ["y_class_1d", "y_class_5d", "y_1d", "y_5d", "y_thresh"]
+_RUNS: dict[tuple[str, str], str] = {}
+
+
+def _incremental(spark, sf) -> Store:
+    """A backfill to mid-month, then one run after the other up to the last day."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _RUNS:
+        return Store(spark, _RUNS[key])
+    store = Store(spark, scratch_path(spark, "incremental"))
+    source = feeds(spark, sf)
+    first, last = source.calendar.agg(F.min("date"), F.max("date")).first()
+    for i, end in enumerate([*_BORDERS, last]):
+        run_etl(spark, store, source, end=end, start=None if i else first)
+    if run_etl(spark, store, source, end=last) is not None:
+        raise RuntimeError("a repeated run must find nothing to do")
+    _RUNS[key] = store.root
+    return store
 
 
-@query("incremental_run", "F3 F4 S9 Q13", f"""
-SELECT symbol, date, {rs(_INC, DIGITS)}, {r('outcome_price_1d', 6, 'outcome_price_1d')},
-  y_class_1d FROM t3 JOIN (SELECT symbol, date, outcome_price_1d, y_class_1d FROM lab) l
-  USING (symbol, date) WHERE date >= DATE '2001-07-02'""")
+@query("incremental_run", "F3 F4 Q13", f"""
+SELECT symbol, date, {rs(OUT, 4)}, {', '.join(INT)} FROM feats""")
 def incremental_run(spark, sf):
-    """Backfill to mid-2001, then let the high-water mark pick up the rest.
+    """Features that runs after a mid-month backfill leave: those of one full build."""
+    store = _incremental(spark, sf)
+    return round_frame(unpack_features(store.features.read(), [*OUT, *INT]).select(
+        *KEY, *OUT, *[C(c).cast("int").alias(c) for c in INT]), 4)
+
+
+@query("incremental_labels", "F3 S9 L1-L9", f"""
+SELECT symbol, date, {rs(_LABELS)}, {', '.join(_CLASSES)},
+  {r('outcome_price_1d', 6, 'bar_outcome_1d')}, {r('outcome_price_5d', 6, 'bar_outcome_5d')} FROM lab""")
+def incremental_labels(spark, sf):
+    """Labels and outcomes after the same runs: late ones have been filled in."""
+    store = _incremental(spark, sf)
+    labels = store.labels.read()
+    bars = store.bars.read().select(*KEY, *OUTCOMES)
+    return round_frame(labels.join(bars, KEY).select(
+        *KEY, *[C(c) for c in _LABELS if c not in OUTCOMES], *_CLASSES, *OUTCOMES,
+        C("outcome_price_1d").alias("bar_outcome_1d"), C("outcome_price_5d").alias("bar_outcome_5d")))
+
+
+@query("incremental_macro", "F3 A3", f"""
+SELECT series_key, date, {r('value', 10, 'value')}, days_since_update FROM mdaily""")
+def incremental_macro(spark, sf):
+    return round_frame(_incremental(spark, sf).macro.read(), 10)
+
 
-    Fixed-width features of the new rows equal those of a full rebuild.
+@query("incremental_events", "F3 E3 E4 E5", """
+SELECT date, event_type, event_name, source FROM evfull""")
+def incremental_events(spark, sf):
+    return _incremental(spark, sf).events.read().select("date", "event_type", "event_name", "source")
+
+
+@query("incremental_bars", "F3 S8", f"""
+SELECT symbol, date, {rs(['open', 'high', 'low', 'close', 'adj_close'])}, volume FROM dbars""")
+def incremental_bars(spark, sf):
+    return round_frame(_incremental(spark, sf).bars.read().select(
+        *KEY, "open", "high", "low", "close", "adj_close", "volume"))
+
+
+@query("daily_run_outcomes", "F5 C11", f"""
+SELECT * FROM (VALUES ('weekend'), ('forced'), ('trained'), ('untrained')) v(run)
+CROSS JOIN (SELECT symbol, max(date) AS date FROM bars GROUP BY symbol) b
+WHERE run <> 'weekend'""".replace("SELECT * FROM (VALUES", """SELECT run, symbol, date,
+  CASE run WHEN 'trained' THEN 'rule' ELSE 'placeholder_xgb' END AS model_name,
+  CASE run WHEN 'trained' THEN 'predicted' ELSE 'placeholder' END AS outcome FROM (VALUES"""))
+def daily_run_outcomes(spark, sf):
+    """Daily runs over copies of the stored tables, and what each leaves to predict with.
+
+    A weekend run does nothing; a forced one and one without model leave
+    placeholders; one with a model leaves that model's predictions.
     """
-    store = Store(spark, scratch_path(spark, "incremental"))
+    saturday, weekday = date(2001, 12, 29), date(2001, 12, 31)
     source = feeds(spark, sf)
-    run_etl(spark, store, source, end=date(2001, 6, 29), start=date(1995, 1, 1))
-    window = run_etl(spark, store, source, end=date(2001, 12, 31))
-    again = run_etl(spark, store, source, end=date(2001, 12, 31))
-    if again is not None:
-        raise RuntimeError("a repeated run must find nothing to do")
-    features = unpack_features(store.features.read(since=window.start), _INC)
-    return round_frame(
-        features.join(store.bars.read().select(*KEY, "outcome_price_1d"), KEY)
-        .join(store.labels.read().select(*KEY, "y_class_1d"), KEY), DIGITS)
+    shared = _incremental(spark, sf)
+    latest = shared.features.read().groupBy("symbol").agg(F.max("date").alias("date"))
+
+    def rows(name: str, up: float):
+        return latest.select(
+            *KEY, F.lit("1d").alias("horizon"), F.lit(name).alias("model_name"),
+            F.lit("production").alias("split"), F.lit(up).alias("p_up"))
+
+    def untrained(_: Store):
+        raise LookupError("no trained model")
+
+    runs = {"weekend": (saturday, False, untrained), "forced": (saturday, True, untrained),
+            "trained": (weekday, False, lambda _: rows("rule", 0.9)), "untrained": (weekday, False, untrained)}
+    out = None
+    for name, (day, force, predict) in runs.items():
+        store = Store(spark, shared.root)
+        store.predictions = keyed.KeyedTable(spark, scratch_path(spark, "predictions"), store.predictions.keys)
+        outcome = run_daily(spark, store, source, day, predict, lambda _: rows("placeholder_xgb", 0.55), force)
+        if not store.predictions.exists():
+            continue
+        left = store.predictions.read().select(
+            F.lit(name).alias("run"), *KEY, "model_name", F.lit(outcome).alias("outcome"))
+        out = left if out is None else out.unionByName(left)
+    return out
 
 
-@query("backfill_run", "F2 F5", """
+@query("backfill_run", "F2", """
 SELECT 'bars' AS name, count(*) AS n FROM dbars UNION ALL SELECT 'macro', count(*) FROM mdaily
 UNION ALL SELECT 'features', count(*) FROM feats UNION ALL SELECT 'labels', count(*) FROM lab
 UNION ALL SELECT 'events', count(*) FROM evfull""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as cfg
+from ..functions.ema import with_ema
 from ..functions.rolling import Series
 from ..functions.scalars import round_frame
 from ..operators import technical as T
@@ -86,6 +87,32 @@ _ALL = cfg.TECHNICAL_FEATURES + cfg.SESSION_FEATURES + cfg.TREND_FEATURES
 _tech_query("technical_features", "W1-W20", _ALL)
 
 
+_GAP = "dayofmonth(date) % 7 = 3"
+_SPANS = (9, 20, 50)
+
+
+@query("averages_over_gaps", "W4 W24", f"""
+SELECT symbol, date, {rs([f'ema_{n}' for n in _SPANS], 6)} FROM (
+  WITH RECURSIVE g AS (SELECT symbol, date, row_number() {W} AS rn,
+      CASE WHEN {_GAP} THEN NULL ELSE close END AS c FROM bars),
+  e AS (
+    SELECT symbol, date, rn, {', '.join(f'c AS ema_{n}, 1e0 AS w_{n}' for n in _SPANS)} FROM g WHERE rn = 1
+    UNION ALL
+    SELECT g.symbol, g.date, g.rn, {', '.join(f"""
+      CASE WHEN g.c IS NULL THEN p.ema_{n} WHEN p.ema_{n} IS NULL THEN g.c
+           ELSE (p.w_{n} * (1 - 2e0 / {n + 1}) * p.ema_{n} + 2e0 / {n + 1} * g.c)
+                / (p.w_{n} * (1 - 2e0 / {n + 1}) + 2e0 / {n + 1}) END,
+      CASE WHEN g.c IS NOT NULL OR p.ema_{n} IS NULL THEN 1e0 ELSE p.w_{n} * (1 - 2e0 / {n + 1}) END"""
+      for n in _SPANS)}
+    FROM e p JOIN g ON g.symbol = p.symbol AND g.rn = p.rn + 1)
+  SELECT * FROM e)""")
+def averages_over_gaps(spark, sf):
+    """Closes are missing on some days: the average is carried over them."""
+    bars = market.etf_bars(spark, sf).withColumn("close", F.when(~F.expr(_GAP), F.col("close")))
+    df = with_ema(bars, T.BY_SYMBOL, {f"ema_{n}": ("close", n) for n in _SPANS}, gaps=True)
+    return round_frame(df.select(*KEY, *[f"ema_{n}" for n in _SPANS]), 6)
+
+
 @query("on_balance_volume", "W9", f"""
 SELECT symbol, date, {r(f'sum(coalesce(sign(delta), 0) * v) {W}', 2, 'obv')} FROM t1""")
 def on_balance_volume(spark, sf):

@@ -8,6 +8,9 @@ input, and then replace exactly those partitions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,8 @@ from ..session import scratch_path
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` replace or extend rows of ``old`` on the key."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(
-        new, allowMissingColumns=True)
+    """Columns that ``new`` supplies replace stored ones on the key; others stay."""
+    return upsert_columns(old, new, keys, [c for c in new.columns if c not in keys])
 
 
 def upsert_columns(old: DataFrame, new: DataFrame, keys: list[str],
@@ -50,6 +52,20 @@ def upsert_refresh(old: DataFrame, new: DataFrame, keys: list[str],
     return upsert(old, new.withColumns(constants), keys)
 
 
+def newest_per_key(batch: DataFrame, keys: list[str], newest: str) -> DataFrame:
+    """One row per key: the one with the greatest ``newest``."""
+    rest = [c for c in batch.columns if c not in keys]
+    return (batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), newest).alias("_row"))
+            .select(*keys, "_row.*").select(*batch.columns))
+
+
+def reject_repeated_keys(rows: DataFrame, keys: list[str]) -> None:
+    """A key stands for one row; a batch that repeats one is an error."""
+    repeated = rows.groupBy(*keys).count().where("count > 1").head(1)
+    if repeated:
+        raise ValueError(f"repeated key {tuple(repeated[0][k] for k in keys)}")
+
+
 def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     """Drop matching rows; an unknown condition keeps the row."""
     return df.where(~F.coalesce(condition, F.lit(False)))
@@ -98,21 +114,58 @@ class KeyedTable:
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .option("compression", "snappy").partitionBy("year").parquet(self.path))
 
-    def merge(self, new: DataFrame, columns: list[str] | None = None) -> None:
-        """Upsert a batch, whole rows or only ``columns`` of them."""
+    def _partition(self, year: int):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/year={year}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def merge(self, new: DataFrame, columns: list[str] | None = None,
+              newest: str | None = None) -> None:
+        """Upsert a batch: all columns it supplies, or only ``columns`` of them.
+
+        Stored columns that the batch lacks stay as they are.  A key that the
+        batch repeats is an error, unless ``newest`` names the column whose
+        greatest value wins.
+        """
+        if newest:
+            new = newest_per_key(new, self.keys, newest)
         if not self.exists():
             self._write(new)
+            if not newest:
+                try:
+                    reject_repeated_keys(self.read(), self.keys)
+                except ValueError:
+                    self.clear()
+                    raise
             return
-        staged_new = stage(self.spark, new, "batch")
-        years = [row.y for row in staged_new.select(
-            F.year(self.date_column).alias("y")).distinct().collect()]
+        with staged(self.spark, new, "batch") as batch:
+            if not newest:
+                reject_repeated_keys(batch, self.keys)
+            years = [row.y for row in batch.select(
+                F.year(self.date_column).alias("y")).distinct().collect()]
+            if not years:
+                return
+            old = (self.spark.read.parquet(self.path)
+                   .where(F.col("year").isin(years)).drop("year"))
+            merged = (upsert(old, batch, self.keys) if columns is None
+                      else upsert_columns(old, batch, self.keys, columns))
+            with staged(self.spark, merged, "merge") as rows:
+                self._write(rows)
+
+    def delete(self, condition: Column) -> None:
+        """Drop the rows that match; only their partitions are rewritten."""
+        stored = self.spark.read.parquet(self.path)
+        years = [row.year for row in stored.where(condition).select("year").distinct().collect()]
         if not years:
             return
-        old = (self.spark.read.parquet(self.path)
-               .where(F.col("year").isin(years)).drop("year"))
-        merged = (upsert(old, staged_new, self.keys) if columns is None
-                  else upsert_columns(old, staged_new, self.keys, columns))
-        self._write(stage(self.spark, merged, "merge"))
+        kept = delete_where(stored.where(F.col("year").isin(years)).drop("year"), condition)
+        with staged(self.spark, kept, "kept") as rows:
+            left = {row.y for row in rows.select(
+                F.year(self.date_column).alias("y")).distinct().collect()}
+            self._write(rows)
+        for year in set(years) - left:
+            store, path = self._partition(year)
+            store.delete(path, True)
 
     def clear(self) -> None:
         """Remove all rows, keeping the schema and the location."""
@@ -123,6 +176,18 @@ class KeyedTable:
          .parquet(self.path))
 
 
+@contextmanager
+def staged(spark: SparkSession, df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``df`` written to the shared folder for the time of the block."""
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, computes once."""
     path = scratch_path(spark, label)
