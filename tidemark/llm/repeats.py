@@ -194,8 +194,10 @@ def _mark(table: pa.Table) -> Iterator[pa.RecordBatch]:
         return
     packed, docs, ties = (table[c].to_numpy() for c in ("packed", "doc", "tie"))
     at, left, width = packed >> 14, packed >> 7 & 127, packed & 127
-    rank = np.empty(len(at), np.int64)
-    rank[np.lexsort((at, ties, docs))] = np.arange(len(at))
+    by = np.lexsort((at, ties, docs))
+    place = np.stack([docs[by], ties[by], at[by]])
+    rank = np.empty(len(at), np.int64)  # a repeated row stands at one place
+    rank[by] = np.concatenate([[0], np.cumsum((place[:, 1:] != place[:, :-1]).any(axis=0))])
     pieces = table["bytes"].to_pylist()
     marked = repeated_strings(pieces, left, width, rank)
     edges = np.diff(np.pad(marked.astype(np.int8), ((0, 0), (1, 1))), axis=1)
