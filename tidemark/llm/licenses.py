@@ -53,8 +53,8 @@ TEMPLATES = (
                            " software and associated documentation files"),
     Template("mit-release", "released under the mit license"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0"),
+    Template("cc-by-nc", "cc by nc"),
+    Template("cc-by-sa", "cc by sa"),
     Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     Template("all-rights", "all rights reserved no part of this publication may be reproduced"),
 )
