@@ -153,17 +153,17 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = M
     key = [F.col("doc_id").cast("long"), F.col("source"),
            F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("long")]
     drawn = (mixed_copies(docs, weights, most, seed).groupBy("doc_id", "source", "size")
-             .agg(F.sum("copies").alias("sum"), F.count("*").alias("rows"))
-             .select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"),
-                     F.col("size").alias("mix_size"), "sum", "rows").where("sum > 0"))
-    named = docs.select("*", key[2].alias("mix_own_size"))
-    on = (key[0].eqNullSafe(F.col("mix_id")) & key[1].eqNullSafe(F.col("mix_source"))
-          & (F.col("mix_own_size") == F.col("mix_size")))
+             .agg(F.sum("copies").alias("__sum"), F.count("*").alias("__rows"))
+             .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
+                     F.col("size").alias("__size"), "__sum", "__rows").where("__sum > 0"))
+    named = docs.select("*", key[2].alias("__own_size"))
+    on = (key[0].eqNullSafe(F.col("__id")) & key[1].eqNullSafe(F.col("__source"))
+          & (F.col("__own_size") == F.col("__size")))
     joined = named.join(drawn, on)
-    single = joined.where("rows = 1").withColumn("mix_take", F.col("sum"))
-    order = Window.partitionBy("mix_id", "mix_source", "mix_size").orderBy("text")
-    again = (joined.where("rows > 1").withColumn("mix_at", F.row_number().over(order))
-             .withColumn("mix_take", F.expr("sum div rows + if(mix_at <= sum % rows, 1, 0)")).drop("mix_at"))
-    taken = single.unionByName(again).where("mix_take > 0")
-    return (taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_take").cast("int"))))
+    single = joined.where("__rows = 1").withColumn("__take", F.col("__sum"))
+    order = Window.partitionBy("__id", "__source", "__size").orderBy("text")
+    again = (joined.where("__rows > 1").withColumn("__at", F.row_number().over(order))
+             .withColumn("__take", F.expr("__sum div __rows + if(__at <= __sum % __rows, 1, 0)")).drop("__at"))
+    taken = single.unionByName(again).where("__take > 0")
+    return (taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__take").cast("int"))))
             .select(*docs.columns))
