@@ -32,6 +32,12 @@ MODEL_PARAMS = {
 _FAMILIES = {"logistic_regression": LogisticRegression,
              "random_forest": RandomForestClassifier,
              "lightgbm": GBTClassifier, "xgboost": GBTClassifier}
+#: Families of two-class learners: more classes take one model each, against the rest.
+BOOSTED = {"lightgbm", "xgboost"}
+
+
+def one_against_rest(name: str, classes) -> bool:
+    return name in BOOSTED and len(classes) > 2
 
 
 @dataclass
@@ -47,8 +53,16 @@ class TrainedModel:
     def probabilities(self, df: DataFrame) -> DataFrame:
         """Input rows with ``p_down``/``p_up`` (``p_hold`` for three classes)."""
         scored = self.pipeline.transform(self.prep.transform(df))
-        probs = vector_to_array("probability")
         names = {-1: "p_down", 0: "p_hold", 1: "p_up"}
+        if one_against_rest(self.name, self.classes):
+            own = [vector_to_array(f"_probability_{i}")[1] for i in range(len(self.classes))]
+            total = sum(own[1:], own[0])
+            probs = [F.when(total > 0, p / total).otherwise(1.0 / len(own)) for p in own]
+            return scored.withColumns(
+                {names[k]: probs[i] for i, k in enumerate(self.classes)}).drop(
+                "features", *[f"_{c}_{i}" for i in range(len(own))
+                              for c in ("raw", "probability", "prediction")])
+        probs = vector_to_array("probability")
         return scored.withColumns({names[k]: probs[i]
                                    for i, k in enumerate(self.classes)}).drop(
             "features", "rawPrediction", "probability", "prediction")
@@ -98,7 +112,15 @@ def train(train_df: DataFrame, features: list[str], target: str, name: str,
             # unit inverse regularisation over the summed loss
             params.setdefault("regParam", 1.0 / max(rows.count(), 1))
         assembler = VectorAssembler(inputCols=prep.kept, outputCol="features")
-        fitted = Pipeline(stages=[assembler, _FAMILIES[name](**params)]).fit(rows)
+        learners = [_FAMILIES[name](**params)]
+        if one_against_rest(name, classes):
+            rows = rows.withColumns({f"_is_{i}": (C("label") == i).cast("double")
+                                     for i in range(len(classes))})
+            learners = [_FAMILIES[name](
+                **params, labelCol=f"_is_{i}", predictionCol=f"_prediction_{i}")
+                .setRawPredictionCol(f"_raw_{i}").setProbabilityCol(f"_probability_{i}")
+                for i in range(len(classes))]
+        fitted = Pipeline(stages=[assembler, *learners]).fit(rows)
     finally:
         train_df.unpersist()
     return TrainedModel(name, target, prep, fitted, list(classes))

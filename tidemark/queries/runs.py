@@ -13,6 +13,7 @@ from ..operators import models as MD
 from ..operators import preparation as P
 from ..operators.calendars import next_trading_day
 from ..operators.feature_store import unpack_features
+from ..operators.targets import barrier_classes
 from ..plans import training as TR
 from ..plans.etl import OUTCOMES, Store, run_daily, run_etl
 from ..plans.staging import build_store, feeds
@@ -21,7 +22,7 @@ from ..sources import files, keyed, market
 from .base_sql import r, rs
 from .context import INT, OUT
 from .registry import query
-from .scoring import predictions
+from .scoring import predictions, split_sql
 from .technical import DIGITS
 from .views import PLACES, cols, tables
 
@@ -294,6 +295,46 @@ def saved_model_round_trip(spark, sf):
     return round_frame(TR.score_rows(loaded, parts.where("split = 'test'"), "1d"))
 
 
+@query("saved_model_equality", "T1 T5", f"""
+SELECT {split_sql()} AS split, count(*) AS rows, count(*) AS equal_scores, count(*) AS sums_to_one
+FROM dataset JOIN lab USING (symbol, date) WHERE y_class_1d IS NOT NULL AND split IS NOT NULL GROUP BY 1""")
+def saved_model_equality(spark, sf):
+    """Rows whose scores a stored and reloaded model repeats, and add up to one."""
+    model, parts = _fit(spark, sf, "logistic_regression")
+    path = scratch_path(spark, "model")
+    model.save(path, {"target": model.target})
+    loaded = MD.TrainedModel.load(spark, path)
+    known = parts.where("split IS NOT NULL")
+    both = model.probabilities(known).select(*KEY, "split", "p_down", "p_up").join(
+        loaded.probabilities(known).select(*KEY, C("p_down").alias("d"), C("p_up").alias("u")), KEY)
+    return both.groupBy("split").agg(
+        F.count("*").alias("rows"), F.count_if((C("p_down") == C("d")) & (C("p_up") == C("u"))).alias("equal_scores"),
+        F.count_if(F.abs(C("p_down") + C("p_up") - 1) < 1e-9).alias("sums_to_one"))
+
+
+@query("three_class_boosting", "T3 T4", f"""
+SELECT m.name AS model_name, {split_sql()} AS split, count(*) AS rows, count(*) AS valid
+FROM dataset JOIN lab3 USING (symbol, date), (VALUES ('lightgbm'), ('xgboost')) AS m(name)
+WHERE y_class_1d IS NOT NULL AND split IS NOT NULL GROUP BY 1, 2""")
+def three_class_boosting(spark, sf):
+    """Boosted trees over sell, hold and buy: every row gets three shares of one."""
+    t = tables(spark, sf)
+    barrier = barrier_classes(t.labels).select(*KEY, C("y_class_1d").alias("barrier"))
+    data = V.classification_dataset(t).join(barrier, KEY).withColumn("y_class_1d", C("barrier")).drop("barrier")
+    parts = P.with_split(data, cfg.FIXTURE_SPLITS).where("split IS NOT NULL AND y_class_1d IS NOT NULL")
+    out = None
+    for name in ("lightgbm", "xgboost"):
+        model = MD.train(parts.where("split = 'train'"), P.feature_columns(data), "y_class_1d", name,
+                         classes=(-1, 0, 1), maxIter=5)
+        p = model.probabilities(parts).select("split", "p_down", "p_hold", "p_up")
+        low, total = F.least("p_down", "p_hold", "p_up"), C("p_down") + C("p_hold") + C("p_up")
+        counts = p.groupBy("split").agg(F.count("*").alias("rows"), F.count_if(
+            (low >= 0) & (F.abs(total - 1) < 1e-9)).alias("valid")).select(
+            F.lit(name).alias("model_name"), "split", "rows", "valid")
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 @query("classification_run", "F6 T10 C1 C8 C9")
 def classification_run(spark, sf):
     """Train, calibrate, decide and evaluate one model on both horizons."""

@@ -35,7 +35,7 @@ RULES = {"rsi": "rsi_14 / 100", "trend": "price_rsq_20",
 _SRC = ["rsi_14", "price_rsq_20", "return_autocorr_20"]
 
 
-def _split_sql(date: str = "date") -> str:
+def split_sql(date: str = "date") -> str:
     parts = " ".join(f"WHEN {date} BETWEEN DATE '{lo}' AND DATE '{hi}' THEN '{n}'"
                      for n, (lo, hi) in cfg.FIXTURE_SPLITS.items())
     return f"CASE {parts} END"
@@ -46,7 +46,7 @@ SELECT symbol, date, '{h}' AS horizon, '{m}' AS model_name, y_class_{h} AS y_tru
   round(({e})::DOUBLE, 6) AS p_up, round(1 - round(({e})::DOUBLE, 6), 6) AS p_down
 FROM t3 JOIN lab USING (symbol, date)""" for h in ("1d", "5d") for m, e in RULES.items()))
 cte("preds", f"""
-SELECT symbol, date, horizon, model_name, {_split_sql()} AS split, y_true,
+SELECT symbol, date, horizon, model_name, {split_sql()} AS split, y_true,
   CASE WHEN p_up > p_down THEN 1 ELSE -1 END AS pred_class_raw,
   CASE WHEN p_up > p_down THEN 1 ELSE -1 END AS pred_class_final,
   p_down, p_up, greatest(p_down, p_up) AS confidence, abs(p_down - p_up) AS margin
@@ -60,7 +60,7 @@ FROM (SELECT *, greatest(p_sell, p_hold, p_buy) AS top, least(p_sell, p_hold, p_
   FROM (SELECT symbol, date, horizon, model_name, split, y_true,
       hold AS p_hold, round((1 - hold) * p_up, 6) AS p_buy,
       round((1 - hold) * (1 - p_up), 6) AS p_sell
-    FROM (SELECT s.symbol, s.date, s.horizon, s.model_name, {_split_sql('s.date')} AS split,
+    FROM (SELECT s.symbol, s.date, s.horizon, s.model_name, {split_sql('s.date')} AS split,
         CASE s.horizon WHEN '1d' THEN l.y_class_1d ELSE l.y_class_5d END AS y_true,
         s.p_up, round(t.price_rsq_20 / 2, 6) AS hold
       FROM scores s JOIN t3 t USING (symbol, date) JOIN lab3 l USING (symbol, date)
@@ -388,7 +388,11 @@ def directions(spark, sf):
         *KEY, *BY, direction(C("pred_class_final")).alias("direction"))
 
 
-@query("recommendations", "P12")
+@query("recommendations", "P12", """
+SELECT symbol, date, horizon, model_name,
+  CASE pred_class_raw WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' ELSE 'HOLD' END || ' ('
+    || CAST(CAST(round(CAST(confidence AS DECIMAL(18, 6)), 2) AS DECIMAL(18, 2)) AS VARCHAR) || ')' AS rec
+FROM three""")
 def recommendations(spark, sf):
     return three_class(spark, sf).select(*KEY, *BY, recommendation(
         C("pred_class_raw"), C("p_sell"), C("p_hold"), C("p_buy")).alias("rec"))
@@ -465,7 +469,7 @@ def _train(spark, sf):
 @query("split_class_distribution", "D1", f"""
 SELECT split, y_class_1d AS class, count(*) AS n,
   {r('100.0 * count(*) / sum(count(*)) OVER (PARTITION BY split)', 6, 'pct')}
-FROM (SELECT {_split_sql()} AS split, y_class_1d FROM lab WHERE y_class_1d IS NOT NULL)
+FROM (SELECT {split_sql()} AS split, y_class_1d FROM lab WHERE y_class_1d IS NOT NULL)
 GROUP BY 1, 2""")
 def split_class_distribution(spark, sf):
     return round_frame(P.class_distribution(
