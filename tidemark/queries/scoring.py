@@ -304,10 +304,24 @@ def calibrated_validation(spark, sf):
     return round_frame(df.select(*KEY, *BY, "p_down", "p_up"))
 
 
-@query("calibrated_predictions", "C1")
+def _between(cls: str) -> str:
+    """The fitted curve at a score: its nearest end outside, a line between points."""
+    lo, hi, x = f"lo_{cls}", f"hi_{cls}", f"e.{cls}"
+    return (f"CASE WHEN {lo}.x IS NULL THEN {hi}.fit WHEN {hi}.x IS NULL OR {lo}.x = {hi}.x THEN {lo}.fit"
+            f" ELSE {lo}.fit + ({x} - {lo}.x) / ({hi}.x - {lo}.x) * ({hi}.fit - {lo}.fit) END")
+
+
+@query("calibrated_predictions", "C1", f"""
+SELECT symbol, date, horizon, model_name, {r('d / greatest(d + u, 1e-9)', 6, 'p_down')},
+  {r('u / greatest(d + u, 1e-9)', 6, 'p_up')}
+FROM (SELECT e.symbol, e.date, e.horizon, e.model_name, {_between('p_down')} AS d, {_between('p_up')} AS u
+  FROM preds e {' '.join(f"""
+  ASOF LEFT JOIN fit_{c} {side}_{c} ON {side}_{c}.horizon = e.horizon
+    AND {side}_{c}.model_name = e.model_name AND e.{c} {sign} {side}_{c}.x"""
+  for c in ('p_down', 'p_up') for side, sign in (('lo', '>='), ('hi', '<=')))})""")
 def calibrated_predictions(spark, sf):
     return round_frame(calibrated(spark, sf).select(
-        *KEY, *BYS, "p_down", "p_up"))
+        *KEY, *BY, "p_down", "p_up"))
 
 
 # --- summaries and reports --------------------------------------------------------------
@@ -329,10 +343,12 @@ def summary_by_horizon(spark, sf):
 
 
 @query("markdown_rows", "C9", """
-SELECT horizon, model, printf('| %s | %.4f | %.4f | %.4f | %.2f%% |', model, test_accuracy,
-  test_f1_macro, test_f1_action, test_trade_rate * 100) AS test_row FROM summ""")
+SELECT horizon, model, """ + ", ".join(f"""printf('| %s | %.4f | %.4f | %.4f | %.2f%% |{more}', model,
+  {s}_accuracy, {s}_f1_macro, {s}_f1_action, {s}_trade_rate * 100{args}) AS {s}_row""" for s, more, args in (
+    ("val", " %.2f | %.2f |", ", conf_thresh, margin_thresh"), ("test", "", ""))) + """
+FROM summ""")
 def markdown_rows(spark, sf):
-    return R.markdown_rows(_summary(spark, sf)).select("horizon", "model", "test_row")
+    return R.markdown_rows(_summary(spark, sf)).select("horizon", "model", "val_row", "test_row")
 
 
 @query("best_models", "Q9", f"""

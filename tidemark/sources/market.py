@@ -61,22 +61,28 @@ def trading_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weekday_trades(spark, sf_dir).select("date").distinct()
 
 
-def etf_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of the index ETFs, one symbol per return flag."""
+def _etf() -> Column:
     mapping = F.create_map(*[F.lit(x) for kv in cfg.FLAG_TO_TICKER.items()
                              for x in kv])
-    return _ohlcv(_weekday_trades(spark, sf_dir),
-                  mapping[F.col("l_returnflag")],
-                  F.col("l_extendedprice") / 100.0)
+    return mapping[F.col("l_returnflag")]
 
 
-def proxy_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of the cross-asset proxies, keyed by line number and status."""
+def _proxy() -> Column:
     slot = F.pmod(F.col("l_linenumber") * 2 + 6
                   + (F.col("l_linestatus") == "F").cast("int"),
                   F.lit(len(cfg.PROXY_SYMBOLS)))
-    names = F.array(*[F.lit(s) for s in cfg.PROXY_SYMBOLS])
-    return _ohlcv(_weekday_trades(spark, sf_dir), names[slot],
+    return F.array(*[F.lit(s) for s in cfg.PROXY_SYMBOLS])[slot]
+
+
+def etf_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of the index ETFs, one symbol per return flag."""
+    return _ohlcv(_weekday_trades(spark, sf_dir), _etf(),
+                  F.col("l_extendedprice") / 100.0)
+
+
+def proxy_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of the cross-asset proxies, keyed by line number and status."""
+    return _ohlcv(_weekday_trades(spark, sf_dir), _proxy(),
                   F.col("l_extendedprice") / 2500.0)
 
 
@@ -88,8 +94,14 @@ def part_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stored bars: ETFs and proxies."""
-    return etf_bars(spark, sf_dir).unionByName(proxy_bars(spark, sf_dir))
+    """All stored bars, ETFs and proxies, from one scan: each trade counts for both."""
+    price = F.col("l_extendedprice")
+    both = F.inline(F.array(
+        F.struct(_etf().alias("symbol"), (price / 100.0).alias("price")),
+        F.struct(_proxy().alias("symbol"), (price / 2500.0).alias("price"))))
+    trades = _weekday_trades(spark, sf_dir).select(
+        "date", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", both)
+    return _ohlcv(trades, F.col("symbol"), F.col("price"))
 
 
 def macro_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
