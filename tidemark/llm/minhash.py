@@ -10,8 +10,8 @@ on full sets, in three steps that never list all pairs of a large bucket:
 
 1. every member of a bucket against the bucket's smallest class;
 2. where a bucket still holds several components: all pairs between them if it
-   has at most ``SMALL`` classes (and the pair shares two bands), else eight
-   pseudo-random leaders against all members;
+   has at most ``SMALL`` classes (and the pair shares two bands), else a few
+   pseudo-random leaders against the members of other components, in turns;
 3. large buckets that still hold several components: an exact similarity join of
    their members over the globally rarest shingles of each set (prefix filter).
 
@@ -36,7 +36,7 @@ from tidemark.llm.components import components
 BANDS, ROWS = 48, 5
 UNIVERSE = 1 << 21
 SMALL = 32
-LEADERS = 8
+LEADERS, TURNS = 2, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _TABLES: dict[int, np.ndarray] = {}
@@ -142,12 +142,36 @@ def labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(open_keys, "key")
 
 
+def small_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share two small buckets."""
+    member = F.struct("class_id", "n", "label")
+    grouped = left.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(member).alias("all"))
+    return (grouped.select(F.explode("all").alias("l"), "all").select("l", F.explode("all").alias("r"))
+            .where("l.class_id < r.class_id AND l.label != r.label")
+            .where(similar_sizes("l.n", "r.n", percent))
+            .groupBy(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b"))
+            .count().where("count > 1").select("a", "b"))
+
+
+def drawn_pairs(left: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Members of large buckets against leaders of other components, drawn anew each turn."""
+    large = left.where(F.col("size") > SMALL).drop("lead")
+    leads = large.groupBy("key").agg(*[
+        F.min(F.struct(F.xxhash64("class_id", F.lit(turn * LEADERS + j)).alias("draw"), "class_id", "n", "label"))
+        .alias(f"lead{j}") for j in range(LEADERS)])
+    leads = leads.select("key", F.explode(F.array(*[f"lead{j}" for j in range(LEADERS)])).alias("l"))
+    return (large.join(leads, "key").where("label != l.label").where(similar_sizes("n", "l.n", percent))
+            .select(F.least("class_id", "l.class_id").alias("a"),
+                    F.greatest("class_id", "l.class_id").alias("b")).distinct())
+
+
 def rarest_joined(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a shingle among their rarest.
 
     Two sets of the wanted similarity share one within the first
     n - ceil(n * percent / 100) + 1 shingles in any common order; the order by
-    frequency keeps the posting lists short.  No pair is lost.
+    frequency keeps the posting lists short, and from the places of the first
+    shared one follows how many can be shared at all.  No pair is lost.
     """
     who = members.select("class_id", "label").distinct()
     rows = sets.join(who, "class_id").select(
@@ -156,11 +180,11 @@ def rarest_joined(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     first = F.expr(f"n - cast(ceil(n * {percent} / 100) as int) + 1")
     prefix = (rows.join(often, "item").groupBy("class_id", "label", "n")
               .agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("sorted"))
-              .select("class_id", "label", "n", F.explode(F.slice("sorted", F.lit(1), first)).alias("s"))
-              .select("class_id", "label", "n", F.col("s.item").alias("item")))
+              .select("class_id", "label", "n", F.posexplode(F.slice("sorted", F.lit(1), first)).alias("at", "s"))
+              .select("class_id", "label", "n", "at", F.col("s.item").alias("item")))
     l, r = prefix.alias("l"), prefix.alias("r")
-    return (l.join(r, F.expr("l.item = r.item AND l.class_id < r.class_id AND l.label != r.label"))
-            .where(similar_sizes("l.n", "r.n", percent))
+    most = f"least(l.n - l.at, r.n - r.at) * {100 + percent} >= {percent} * (l.n + r.n)"
+    return (l.join(r, F.expr(f"l.item = r.item AND l.class_id < r.class_id AND l.label != r.label AND {most}"))
             .select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")).distinct())
 
 
@@ -201,28 +225,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = stored(verified(stars, sets, percent), "links")
     labels = components(links)
 
-    left = stored(labelled(buckets, labels), "open")
-    member = F.struct("class_id", "n", "label")
-    grouped = left.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(member).alias("all"))
-    pairs = (grouped.select(F.explode("all").alias("l"), "all").select("l", F.explode("all").alias("r"))
-             .where("l.class_id < r.class_id AND l.label != r.label")
-             .where(similar_sizes("l.n", "r.n", percent))
-             .groupBy(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b"))
-             .count().where("count > 1").select("a", "b"))
-    large = left.where(F.col("size") > SMALL)
-    drawn = F.array(*[F.struct(F.xxhash64("class_id", F.lit(j)).alias("draw"),
-                               "class_id", "n", "label") for j in range(LEADERS)])
-    leads = (large.groupBy("key").agg(*[F.min(drawn[j]).alias(f"lead{j}") for j in range(LEADERS)])
-             .select("key", F.explode(F.array(*[f"lead{j}" for j in range(LEADERS)])).alias("l")))
-    led = (large.drop("lead").join(leads, "key").where("label != l.label")
-           .where(similar_sizes("n", "l.n", percent))
-           .select(F.least("class_id", "l.class_id").alias("a"),
-                   F.greatest("class_id", "l.class_id").alias("b")).distinct())
-    more = stored(verified(pairs.union(led).distinct(), sets, percent), "links")
-    if more.head(1):
+    for turn in range(TURNS):
+        left = stored(labelled(buckets, labels), "open")
+        if turn:
+            pairs = drawn_pairs(left, turn, percent)
+        else:
+            pairs = small_pairs(left, percent).union(drawn_pairs(left, turn, percent)).distinct()
+        more = stored(verified(pairs, sets, percent), "links")
+        if not more.head(1):
+            break
         links = links.union(more)
         labels = components(links)
-    rest = labelled(large.drop("label"), labels)
+    rest = labelled(buckets.where(F.col("size") > SMALL), labels)
     if rest.head(1):
         last = stored(verified(rarest_joined(rest, sets, percent), sets, percent), "links")
         if last.head(1):
