@@ -68,11 +68,13 @@ def infer_keys(df: DataFrame) -> list[str]:
 
 def clip_documents(df: DataFrame, rules: dict[str, tuple[float, float]] | None = None,
                    column: str = "features") -> DataFrame:
-    """Clip the values of a map column by a rule per key.
+    """Clip the values of a map column by a rule per feature.
 
+    Rules go by dataset columns; documents use source keys where both differ.
     Missing rules and null / non-finite values leave an entry as it is.
     """
     rules = cfg.default_clip_rules() if rules is None else rules
+    rules = {cfg.SOURCE_KEYS.get(k, k): v for k, v in rules.items()}
     low = F.create_map(*[x for k, (lo, _) in rules.items()
                          for x in (F.lit(k), F.lit(float(lo)))])
     high = F.create_map(*[x for k, (_, hi) in rules.items()

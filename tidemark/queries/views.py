@@ -85,12 +85,14 @@ def extracted_keys(spark, sf):
 
 
 def _clip_sql(c):
-    lo, hi = cfg.default_clip_rules()[c]
+    column = next((k for k, source in cfg.SOURCE_KEYS.items() if source == c), c)
+    lo, hi = cfg.default_clip_rules()[column]
     return r(f"CASE WHEN {c} IS NOT NULL THEN greatest({lo}, least({hi}, {c})) END", 6, c)
 
 
 _CLIPPED = ["log_ret_1d", "rsi_14", "atr_14", "volume_z", "dd_60", "vix_level",
-            "volume_chg_pct"]
+            "volume_chg_pct", *(s for c, s in cfg.SOURCE_KEYS.items()
+                                if c in cfg.default_clip_rules())]
 
 
 @query("clipped_documents", "M4", f"""
@@ -100,7 +102,8 @@ def clipped_documents(spark, sf):
     maps = tables(spark, sf).features.select(*KEY, M.as_map().alias("features"))
     f = C("features")
     return round_frame(M.clip_documents(maps).select(
-        *KEY, *[f[c].alias(c) for c in _CLIPPED + ["sma_20"]]), PLACES | {"atr_14": 6})
+        *KEY, *[f[c].alias(c) for c in _CLIPPED + ["sma_20"]]),
+        PLACES | dict.fromkeys(_CLIPPED, 6))
 
 
 @query("document_null_profile", "M5", " UNION ALL ".join(f"""
