@@ -348,9 +348,9 @@ def classification_run(spark, sf):
 
 @query("next_day_predictions", "C10")
 def next_day_predictions(spark, sf):
-    """Newest features before the last month scored for the next trading day."""
+    """Newest features that a trading day follows, scored for that day."""
     model, parts = _fit(spark, sf, "logistic_regression")
-    known = parts.where(C("date") < "2001-10-01").drop("split", "y_class_1d")
+    following = next_trading_day(market.trading_calendar(spark, sf)).where("next_date IS NOT NULL")
+    known = parts.drop("split", "y_class_1d").join(following.select("date"), "date", "left_semi")
     return round_frame(TR.next_day_predictions(
-        model, known, next_trading_day(market.trading_calendar(spark, sf)),
-        predictions(spark, sf), "1d"))
+        model, known, following, predictions(spark, sf), "1d"))

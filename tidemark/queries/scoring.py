@@ -452,17 +452,14 @@ def placeholder_predictions(spark, sf):
 
 
 @query("next_day_targets", "C10 Q7 J9", """
-SELECT f.symbol, f.date AS feature_date, n.next_date AS date FROM (
-  SELECT symbol, max(date) AS date FROM bars WHERE date < DATE '2001-10-01' GROUP BY symbol) f
-JOIN (SELECT date, lead(date) OVER (ORDER BY date) AS next_date FROM cal) n USING (date)""")
+SELECT symbol, max(date) AS feature_date, max_by(next_date, date) AS date
+FROM bars JOIN (SELECT date, lead(date) OVER (ORDER BY date) AS next_date FROM cal) USING (date)
+WHERE next_date IS NOT NULL GROUP BY symbol""")
 def next_day_targets(spark, sf):
-    """Newest features before a cut-off and the day they predict."""
-    t = tables(spark, sf)
-    latest = (t.features.where("date < '2001-10-01'").groupBy("symbol")
-              .agg(F.max("date").alias("date")))
-    nxt = next_trading_day(market.trading_calendar(spark, sf))
-    return latest.join(F.broadcast(nxt), "date").select(
-        "symbol", C("date").alias("feature_date"), C("next_date").alias("date"))
+    """Newest features that a trading day follows, and the day they predict."""
+    nxt = next_trading_day(market.trading_calendar(spark, sf)).where("next_date IS NOT NULL")
+    return (tables(spark, sf).features.select(*KEY).join(nxt, "date").groupBy("symbol")
+            .agg(F.max("date").alias("feature_date"), F.max_by("next_date", "date").alias("date")))
 
 
 # --- dataset preparation -----------------------------------------------------------------
