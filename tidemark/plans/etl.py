@@ -109,13 +109,26 @@ def is_run_day(day: date, force: bool = False) -> bool:
     return force or day.weekday() < 5
 
 
+def renewed_from(store: Store, feeds: Feeds, window: Window) -> date:
+    """First day whose macro values a run can change.
+
+    A series is carried on only once its next observation is there, so one that
+    reports rarely fills days right after its last stored one.
+    """
+    recent = window.start - timedelta(days=cfg.RENEWED_DAYS)
+    reporting = date_range(feeds.macro, window.start, window.end).select("series_key").distinct()
+    last = (store.macro.read().join(reporting, "series_key").groupBy("series_key")
+            .agg(F.max("date").alias("d")).agg(F.min("d")).first()[0])
+    return min(recent, last or recent)
+
+
 def run_etl(spark: SparkSession, store: Store, feeds: Feeds, end: date,
             start: date | None = None, mode: str = "backfill") -> Window | None:
     window = resolve_window(store, feeds.calendar, end, start, mode)
     if window is None:
         return None
     start, calendar = window.start, feeds.calendar
-    renewed = start - timedelta(days=cfg.RENEWED_DAYS) if window.mode == "incremental" else start
+    renewed = renewed_from(store, feeds, window) if window.mode == "incremental" else start
 
     store.bars.merge(date_range(feeds.bars, start, end))
     seen = date_range(feeds.macro, renewed - timedelta(days=cfg.RENEWED_DAYS), end)
