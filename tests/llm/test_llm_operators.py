@@ -336,6 +336,16 @@ def test_inferred_formats_find_unlabelled_credentials(spark):
     assert got[700].kinds == [] == got[701].kinds and all(got[i].kinds == ["assign"] for i in range(120))
 
 
+def test_background_counts_all_candidates(spark, monkeypatch):
+    words = [f"{i:05d}-of-the-numbered-items" for i in range(5_200)] + ["xy1" * 80]
+    texts = [" ".join(words[i:i + 100]) for i in range(0, len(words), 100)]
+    seen, learnt = [], secrets.learnt
+    monkeypatch.setattr(secrets, "learnt", lambda *given: seen.append(learnt(*given)) or seen[-1])
+    secrets.secret_spans(documents(spark, [*texts, texts[0]])).count()
+    background = seen[0].background
+    assert background["^"] == len(words) and background["^0"] == 5_200 and background["z0"] == 80
+
+
 def test_secrets_of_awkward_tables(spark):
     docs = awkward(spark)
     assert secrets.secret_spans(docs).count() == docs.count()

@@ -6,7 +6,8 @@ labelled credentials a bounded sample is spelled in character classes and put
 into a prefix tree per kind; states whose futures do not differ significantly
 are merged, which leaves a small probabilistic automaton.  Every candidate is
 scored by its likelihood under the automata against that of ordinary candidates,
-and one that is as likely as labelled credentials are becomes a ``format`` span.
+a chain of symbol pairs counted over all of them, and one that is as likely as
+labelled credentials are becomes a ``format`` span.
 """
 
 from __future__ import annotations
@@ -35,8 +36,6 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 
 #: Labelled credentials of a kind that are learnt from at most, and their length.
 SAMPLE, LONGEST = 2_000, 200
-#: Ordinary candidates that the background is counted on at most.
-BACKGROUND = 5_000
 #: Significance of a difference between two states.
 ALPHA = 0.05
 #: Share of held-back credentials that may score below the threshold.
@@ -44,6 +43,7 @@ BELOW = 0.05
 
 FOUND = ("doc_id long, kinds array<string>, starts array<int>, ends array<int>, secrets array<string>,"
          " candidate_starts array<int>, candidates array<string>")
+PAIRS = "pair string, n long"
 SPANS = "doc_id long, kinds array<string>, starts array<int>, ends array<int>, scores array<double>"
 
 
@@ -205,13 +205,33 @@ class Formats:
         return max(reached, default=None)
 
 
-def learnt(labelled: dict[str, list[str]], ordinary: list[str]) -> Formats:
+def symbol_pairs(word: str) -> Iterator[str]:
+    """Neighbouring symbols of a spelled word, its borders included."""
+    s = spelled(word)
+    return map("".join, zip("^" + s, s + "$"))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pair counts of a task's candidates."""
+    count: Counter = Counter()
+    for batch in batches:
+        for word in batch.column(0).to_pylist():
+            count.update(symbol_pairs(word))
+    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())],
+                                     names=["pair", "n"])
+
+
+def pair_counts(words: DataFrame) -> dict[str, int]:
+    """Symbol pairs of all distinct words; bounded by the square of the symbols."""
+    rows = words.distinct().mapInArrow(_pairs, PAIRS).groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    return {r["pair"]: r["n"] for r in rows}
+
+
+def learnt(labelled: dict[str, list[str]], pairs: dict[str, int]) -> Formats:
     """Every second credential is learnt from; the others set the threshold."""
-    out = Formats()
-    for word in ordinary:
-        s = "^" + spelled(word) + "$"
-        out.background.update(s[:-1])
-        out.background.update(x + y for x, y in zip(s, s[1:]))
+    out = Formats(background=Counter(pairs))
+    for pair, n in pairs.items():
+        out.background[pair[0]] += n
     for kind, words in labelled.items():
         if len(words) < 20:
             continue
@@ -258,9 +278,8 @@ def secret_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         rows = (pairs.where((F.col("kinds") == kind) & (F.length("secrets") <= LONGEST)).select("secrets").distinct()
                 .orderBy(F.xxhash64("secrets"), "secrets").limit(sample).collect())
         labelled[kind] = [r["secrets"] for r in rows]
-    rows = (found.select(F.explode("candidates").alias("c")).where(F.length("c") <= LONGEST).distinct()
-            .orderBy(F.xxhash64("c"), "c").limit(BACKGROUND).collect())
-    return found.mapInArrow(partial(_judge, learnt(labelled, [r["c"] for r in rows])), SPANS)
+    pairs = pair_counts(found.select(F.explode("candidates").alias("c")))
+    return found.mapInArrow(partial(_judge, learnt(labelled, pairs)), SPANS)
 
 
 def written(kinds: list[str], starts: list[int], ends: list[int]) -> str:
