@@ -163,6 +163,17 @@ def test_disguised_words_are_restored(spark):
     assert reader.words(None) == set() == reader.words(" \n")
 
 
+def test_spaces_and_doubled_letters_are_in_the_lattice(spark):
+    corpus = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = documents(spark, ["you are a stupid thing and I think that an idiot is such a loser " * 60])
+    reader = toxicity.Reader(toxicity.character_model(corpus.select("text").union(extra.select("text"))))
+    for text, words in {"such a s t u p i d thing": {"such", "a", "stupid", "thing"}, "a  s  t  u  p  i  d": {"stupid"},
+                        "s t u p i d i d i o t": {"stupid", "idiot"}, "what stu pid things": {"stupid"},
+                        "stuupid": {"stupid"}, "is s t u p 1 d.": {"stupid"}}.items():
+        assert words <= reader.words(text), text
+    assert "ofthe" not in reader.words("of the") and "thingis" not in reader.words("thing is a thing")
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))

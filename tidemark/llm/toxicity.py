@@ -3,7 +3,8 @@
 A noisy channel writes words with look-alike signs, split by signs or spaces,
 or with repeated letters.  Each doubtful word becomes a lattice of what its
 characters may stand for, and a Viterbi search finds the likeliest reading
-under a character trigram model counted over the whole corpus.  Restored words
+under a character trigram model counted over the whole corpus.  Short words in a
+row share one lattice, in which each space may be kept or dropped.  Restored words
 then give evidence: log odds of word beginnings in toxic against other labelled
 documents.  A logistic curve over the strongest evidence gives the score.
 """
@@ -28,7 +29,7 @@ from tidemark.llm.base import ready
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåçèéêëìíîïñòóôõöøùúûüýÿßœæ"
 BASE = 64
 OTHER = BASE - 1
-SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)}
+SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)} | {" ": 0}
 
 #: What a sign may stand for (fixed values).
 LOOKALIKES = {
@@ -40,8 +41,9 @@ LOOKALIKES = {
 BETWEEN = set(".-_*~/\\,:'’`·|+^")
 
 SUBSTITUTED, DROPPED, REPEATED = -2.5, -2.0, -1.5
-SPELLED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
-TRIPLE = re.compile(r"(.)\1\1")
+#: Two or more words of at most three characters in a row.
+SHORT_RUN = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?!\S)")
+DOUBLE = re.compile(r"(.)\1")
 
 #: Labelled rows that the classifier is fitted on at most: those whose ids hash lowest.
 SAMPLE = 20_000
@@ -130,22 +132,22 @@ def readings(word: str) -> list[list[tuple[str, float]]]:
     return lattice
 
 
-def decode(word: str, model: np.ndarray) -> str:
-    """Likeliest letters behind a lower-case word."""
-    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for arcs in readings(word):
-        new: dict[tuple[int, int], tuple[float, tuple]] = {}
-        for (a, b), (score, path) in states.items():
+def likeliest(lattice: list[list[tuple[str, float]]], model: list[float]) -> str:
+    """What the best path through a lattice writes, from border to border."""
+    states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+    for arcs in lattice:
+        new: dict[int, tuple[float, tuple]] = {}
+        for state, (score, path) in states.items():
             for out, cost in arcs:
-                x, y, s = a, b, score + cost
+                x, s = state, score + cost
                 for c in out:
-                    z = SYMBOL.get(c, OTHER)
-                    s += model[x, y, z]
-                    x, y = y, z
-                if (x, y) not in new or new[x, y][0] < s:
-                    new[x, y] = (s, (path, out))
+                    x = x * BASE + SYMBOL.get(c, OTHER)
+                    s += model[x]
+                    x %= BASE * BASE
+                if x not in new or new[x][0] < s:
+                    new[x] = (s, (path, out))
         states = new
-    path = max(((s + model[a, b, 0], p) for (a, b), (s, p) in states.items()), key=lambda t: t[0])[1]
+    path = max(((s + model[x * BASE], p) for x, (s, p) in states.items()), key=lambda t: t[0])[1]
     letters = []
     while path:
         path, out = path
@@ -153,6 +155,28 @@ def decode(word: str, model: np.ndarray) -> str:
     return "".join(reversed(letters))
 
 
+def decode(word: str, model: list[float]) -> str:
+    """Likeliest letters behind a lower-case word."""
+    return likeliest(readings(word), model)
+
+
+def decode_run(words: list[str], model: list[float]) -> list[str]:
+    """Likeliest words behind lower-case words in a row, whose spaces may be dropped."""
+    lattice: list[list[tuple[str, float]]] = []
+    for i, word in enumerate(words):
+        if i:
+            lattice.append([(" ", 0.0), ("", DROPPED)])
+        core = trimmed(word)
+        if core:
+            before, _, after = word.partition(core)
+            ends = [[[*[(x, SUBSTITUTED) for x in LOOKALIKES.get(c, "")], ("", 0.0)] for c in part]
+                    for part in (before, after)]
+            lattice += [*ends[0], *readings(core), *ends[1]]
+        else:
+            lattice += [[*[a for a in arcs if a[0]], ("", DROPPED)] for arcs in readings(word)]
+    return likeliest(lattice, model).split()
+
+
 def trimmed(word: str) -> str:
     """The word without signs at its ends that stand for no letter there."""
     i, j = 0, len(word)
@@ -171,30 +195,45 @@ class Reader:
 
     model: np.ndarray
     known: dict[str, str] = field(default_factory=dict)
+    runs: dict[str, list[str]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.flat = self.model.ravel().tolist()
 
     def restore(self, word: str) -> str:
-        if word.isalpha() and not TRIPLE.search(word):
+        if word.isalpha() and not DOUBLE.search(word):
             return word
         if word in self.known:
             return self.known[word]
         core = trimmed(word)
-        if core.isalpha() and not TRIPLE.search(core):
+        if core.isalpha() and not DOUBLE.search(core):
             out = core
         elif not any(c.isalpha() or c in LOOKALIKES for c in core):
             out = ""
         else:
-            out = decode(core, self.model)
+            out = decode(core, self.flat)
         if len(self.known) > 200_000:
             self.known.clear()
         self.known[word] = out
         return out
 
+    def joined(self, words: list[str]) -> list[str]:
+        run = " ".join(words)
+        if run in self.runs:
+            return self.runs[run]
+        out = decode_run(words, self.flat)
+        if len(run) <= 40:
+            if len(self.runs) > 200_000:
+                self.runs.clear()
+            self.runs[run] = out
+        return out
+
     def words(self, text: str | None) -> set[str]:
-        """Distinct restored words, letters spelled apart put together."""
+        """Distinct restored words, also those that short words in a row stand for."""
         low = (text or "").lower()
         found = {self.restore(w) for w in set(low.split())}
-        for m in SPELLED.finditer(low):
-            found.add(self.restore(m.group().replace(" ", "")))
+        for m in SHORT_RUN.finditer(low):
+            found.update(self.joined(m.group().split()))
         found.discard("")
         return found
 
