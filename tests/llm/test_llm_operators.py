@@ -347,6 +347,27 @@ def test_inferred_formats_find_unlabelled_credentials(spark):
     assert got[700].kinds == [] == got[701].kinds and all(got[i].kinds == ["assign"] for i in range(120))
 
 
+def test_short_digitless_and_overlapping_runs_are_candidates():
+    hexes = "0123456789abcdef01234567"
+    text = f"pass qX7z_9 keyWithoutDigits ghp_{hexes}_XY token=abcdefgh my_token=abcdefgh {hexes}"
+    got = [run for _, run in secrets.candidates(text, secrets.base_spans(text))]
+    assert got == ["qX7z_9", "keyWithoutDigits", f"ghp_{hexes}_XY", "my_token=abcdefgh"]
+
+
+def test_formats_of_short_and_digitless_credentials(spark):
+    draw = random.Random(9)
+    code = lambda n, of: "".join(draw.choice(of) for _ in range(n))
+    for n, of in ((8, "QWXYZ23789"), (12, "QWXYZGHJK")):
+        word = lambda: code(draw.randrange(6, 14), "abcdefghijklmnop")
+        texts = [f"the {word()} {word()} {word()} around password={code(n, of)} {word()} {word()} {word()} follow"
+                 for i in range(120)]
+        bare = [(500 + i, f"the value {code(n, of)} stands alone") for i in range(5)]
+        got = {r.doc_id: r for r in secrets.secret_spans(documents(spark, [*enumerate(texts), *bare])).collect()}
+        found = [(got[i].kinds, got[i].starts, got[i].ends) for i, _ in bare]
+        assert found.count((["format"], [10], [10 + n])) >= 3, n
+        assert all(got[i].kinds == ["assign"] for i in range(120))
+
+
 def test_background_counts_all_candidates(spark, monkeypatch):
     words = [f"{i:05d}-of-the-numbered-items" for i in range(5_200)] + ["xy1" * 80]
     texts = [" ".join(words[i:i + 100]) for i in range(0, len(words), 100)]

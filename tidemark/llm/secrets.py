@@ -1,7 +1,8 @@
 """Secret scans: base patterns, then automata inferred from what they found.
 
-One pass over the texts finds the base spans and all candidates: long runs of
-credential characters with letters and digits outside of base spans.  Of the
+One pass over the texts finds the base spans and all candidates: runs of
+credential characters, as long as the shortest labelled credential, that are not
+inside a base span.  Of the
 labelled credentials a bounded sample is spelled in character classes and put
 into a prefix tree per kind; states whose futures do not differ significantly
 are merged, which leaves a small probabilistic automaton.  Every candidate is
@@ -18,7 +19,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,10 +33,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
                     re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Shortest credential of an assignment, hence shortest candidate.
+SHORTEST = 6
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 
-#: Labelled credentials of a kind that are learnt from at most, and their length.
-SAMPLE, LONGEST = 2_000, 200
+#: Labelled credentials of a kind that are learnt from at most.
+SAMPLE = 2_000
 #: Significance of a difference between two states.
 ALPHA = 0.05
 #: Share of held-back credentials that may score below the threshold.
@@ -58,7 +61,7 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, secret) of the base patterns, ordered by start, then kind."""
     out = []
     if "=" in text or ":" in text:
-        out += [(m.start(), m.end(), "assign", m.group(2)) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+        out += [(m.start(), m.end(), "assign", m.group(2)) for m in ASSIGN.finditer(text) if len(m.group(2)) >= SHORTEST]
     if "AKIA" in text:
         out += [(m.start(), m.end(), "access", m.group()) for m in ACCESS.finditer(text) if len(m.group()) >= 20]
     out += [(m.start(), m.end(), "hex", m.group()) for m in HEX.finditer(text)]
@@ -66,16 +69,14 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[int, str]]:
-    """Runs of credential characters with a digit and a letter, clear of base spans."""
-    out, at = [], 0
-    taken = sorted((s[0], s[1]) for s in spans)
+    """Runs of credential characters, but those inside one base span."""
+    out, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        while at < len(taken) and taken[at][1] <= m.start():
+        while at < len(spans) and spans[at][0] <= m.start():
+            reach = max(reach, spans[at][1])
             at += 1
-        clear = all(b <= m.start() or a >= m.end() for a, b in taken[at:at + 4])
-        if clear and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-            out.append((m.start(), run))
+        if reach < m.end():
+            out.append((m.start(), m.group()))
     return out
 
 
@@ -245,12 +246,13 @@ def learnt(labelled: dict[str, list[str]], pairs: dict[str, int]) -> Formats:
 
 
 def _judge(formats: Formats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    best = lru_cache(200_000)(formats.best)
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             spans = [(a, b, k, 1.0) for a, b, k in zip(r["starts"], r["ends"], r["kinds"])]
             for at, word in zip(r["candidate_starts"], r["candidates"]):
-                score = formats.best(word)
+                score = best(word)
                 if score is not None:
                     spans.append((at, at + len(word), "format", score))
             spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
@@ -275,7 +277,7 @@ def secret_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     pairs = found.select(F.explode(F.arrays_zip("kinds", "secrets")).alias("x")).select("x.kinds", "x.secrets")
     labelled = {}
     for kind in KINDS[:3]:
-        rows = (pairs.where((F.col("kinds") == kind) & (F.length("secrets") <= LONGEST)).select("secrets").distinct()
+        rows = (pairs.where(F.col("kinds") == kind).select("secrets").distinct()
                 .orderBy(F.xxhash64("secrets"), "secrets").limit(sample).collect())
         labelled[kind] = [r["secrets"] for r in rows]
     pairs = pair_counts(found.select(F.explode("candidates").alias("c")))
