@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import containment, licenses, minhash, mixing, records, repeats, secrets, syncmers, toxicity, urls
+from tidemark.llm import (containment, licenses, merkle, minhash, mixing, records, repeats, secrets, syncmers, toxicity,
+                          urls)
 from tidemark.llm.base import table
 from tidemark.llm.catalog import register
 
@@ -141,3 +142,56 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_repeated_strings")
 def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_repeats(table(spark, sf_dir, "documents"))
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, doc_id, source,
+         concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                   coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head, text,
+         list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+           lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS crc
+  FROM documents),
+f AS (SELECT pos, doc_id, coalesce('s' || source, '') AS tree,
+        sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        sha256(head || coalesce(strlen(t) || ':' || t, '-')) AS judged
+      FROM (SELECT *, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t FROM d)),
+t AS (SELECT tree, pos, leaf AS digest, 0 AS level, count(*) OVER (PARTITION BY tree) AS n FROM f
+      UNION ALL
+      SELECT tree, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), any_value(level) + 1, (any_value(n) + 2) // 3
+      FROM t WHERE n > 1 GROUP BY tree, pos // 3),
+s AS (SELECT tree, digest, level AS height, row_number() OVER (ORDER BY tree) - 1 AS spos FROM t WHERE n = 1),
+u AS (SELECT spos AS pos, digest, 0 AS level, count(*) OVER () AS n FROM s
+      UNION ALL
+      SELECT pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), any_value(level) + 1, (any_value(n) + 2) // 3
+      FROM u WHERE n > 1 GROUP BY pos // 3),
+runs AS (SELECT tree, level, pos // 3 AS run, list(digest ORDER BY pos) AS nodes FROM t WHERE n > 1 GROUP BY ALL
+         UNION ALL SELECT NULL, level, pos // 3, list(digest ORDER BY pos) FROM u WHERE n > 1 GROUP BY ALL),
+steps AS (SELECT f.doc_id, t.level, t.pos % 3 AS place, r.nodes
+          FROM f JOIN t ON t.tree = f.tree AND t.pos = f.pos // (3 ** t.level)::BIGINT AND t.n > 1
+          JOIN runs r ON r.tree = t.tree AND r.level = t.level AND r.run = t.pos // 3
+          UNION ALL
+          SELECT f.doc_id, s.height + u.level, u.pos % 3, r.nodes
+          FROM f JOIN s USING (tree) JOIN u ON u.pos = s.spos // (3 ** u.level)::BIGINT AND u.n > 1
+          JOIN runs r ON r.tree IS NULL AND r.level = u.level AND r.run = u.pos // 3),
+p AS (SELECT doc_id, sha256(string_agg(array_to_string(list_concat(nodes[:place], nodes[place + 2:]), ''), ''
+                            ORDER BY level)) AS proof FROM steps GROUP BY doc_id),
+v AS (SELECT doc_id, judged AS value, 0 AS level FROM f
+      UNION ALL
+      SELECT v.doc_id, sha256(array_to_string(list_concat(nodes[:place], [value], nodes[place + 2:]), '')), v.level + 1
+      FROM v JOIN steps x ON x.doc_id = v.doc_id AND x.level = v.level),
+top AS (SELECT doc_id, arg_max(value, level) AS folded FROM v GROUP BY doc_id)
+SELECT f.doc_id, leaf, s.digest AS subroot, u.digest AS root, coalesce(proof, sha256('')) AS proof_sha256,
+       folded AS folded_root, folded = u.digest AS verified
+FROM f JOIN s USING (tree) JOIN (SELECT digest FROM u WHERE n = 1) u ON true
+LEFT JOIN p ON p.doc_id = f.doc_id JOIN top ON top.doc_id = f.doc_id
+"""
+
+
+@register("op11_merkle_manifest", MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # what a holder shows: texts of every second checksum have lost their line breaks
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), judged={
+        "text": F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
