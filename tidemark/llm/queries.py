@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import (containment, licenses, merkle, minhash, mixing, records, repeats, secrets, syncmers, toxicity,
-                          urls)
+from tidemark.llm import (containment, licenses, merkle, minhash, mixing, packing, records, repeats, secrets, syncmers,
+                          toxicity, urls)
 from tidemark.llm.base import table
 from tidemark.llm.catalog import register
 
@@ -195,3 +195,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     return merkle.manifest(table(spark, sf_dir, "documents"), judged={
         "text": F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
+
+
+@register("op13_packed_sequences")
+def op13_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_sequences(table(spark, sf_dir, "documents"), tokenizer_path())
