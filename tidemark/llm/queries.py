@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import (containment, licenses, merkle, minhash, mixing, packing, records, repeats, secrets, syncmers,
-                          toxicity, urls)
+from tidemark.llm import (containment, licenses, merkle, minhash, mixing, packing, phrases, records, repeats, secrets,
+                          syncmers, toxicity, urls)
 from tidemark.llm.base import table
 from tidemark.llm.catalog import register
 
@@ -200,3 +200,30 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op13_packed_sequences")
 def op13_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+COLLOCATION_SQL = r"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size),
+f AS (SELECT lang, phrase, any_value(size) AS size, count(*)::BIGINT AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, size, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+s AS (SELECT c.lang, c.phrase, c.size, c.a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM c JOIN t ON t.lang = c.lang
+      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[:k], ' ')
+      JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s),
+kept AS (SELECT * FROM b WHERE cut = 1 AND NOT EXISTS (
+           SELECT 1 FROM f x WHERE x.lang = b.lang AND x.size > b.size AND x.f >= b.a
+             AND contains(' ' || x.phrase || ' ', ' ' || b.phrase || ' '))),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
+
+@register("op12_collocations", COLLOCATION_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
