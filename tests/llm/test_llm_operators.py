@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import (containment, licenses, minhash, mixing, records, repeats, secrets, syncmers, toxicity,
+from tidemark.llm import (containment, encoding, licenses, minhash, mixing, records, repeats, secrets, syncmers, toxicity,
                           urls)
 from tidemark.llm.components import components
 from tidemark.llm.queries import tokenizer_path
@@ -85,7 +85,7 @@ def test_records_of_nothing(spark):
 
 
 def test_pieces_equal_whole_texts():
-    e = records.Encoder(tokenizer_path())
+    e = encoding.Encoder(tokenizer_path())
     for text in [*(t or "" for t in AWKWARD), " lead", "trail ", "a\n b", "x <|endoftext|> y", "it's 5,000... ok,.  z",
                  "a\t b\u00a0c", "They'll don't,", "one.. two, three.,", "\n\n x \n"]:
         assert e.encode(text) == e.whole(text), text

@@ -64,7 +64,11 @@ class Encoder:
         self.symbols = byte_symbols()
         self.known: dict[bytes, bytes] = {}
 
-    def text_ids(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
+        """Ids of one text as batches give them, four bytes each."""
+        return next(self.encoded(pa.array([text]))).tobytes()
+
+    def whole(self, text: str) -> bytes:
         """Ids of one text by the library alone, four bytes each."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -74,7 +78,7 @@ class Encoder:
         if spelt.isalpha() and max(spelt) < "\u0240":
             tokens = self.tokenizer.model.tokenize(piece.decode("latin-1").translate(self.symbols))
             return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        return self.text_ids(piece.decode())
+        return self.whole(piece.decode())
 
     def pieces(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Where the pieces of the joined texts begin; ``starts`` are the texts' own."""
@@ -144,7 +148,7 @@ class Encoder:
             k = 0
             for i in range(last - first):
                 if apart[i]:
-                    yield np.frombuffer(self.text_ids(group[i].as_py()), "<u4")
+                    yield np.frombuffer(self.whole(group[i].as_py()), "<u4")
                 else:
                     yield ids[at[k]:at[k + 1]]
                     k += 1

@@ -23,20 +23,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import ready, scratch_path
+from tidemark.llm.encoding import encoder
 
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
 OWNER = struct.Struct("<Bq")
-#: Cached pieces per Python worker; the cache is emptied beyond that.
-MAX_PIECES = 700_000
 #: Bytes a reader or writer holds at a time, besides one record.
 BUFFER = 1 << 22
 
 INDEX = "part int, file string, seq long, doc_id long, offset long, length long, n_tokens long"
 READ = "part int, seq long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
-_ENCODERS: dict[str, "Encoder"] = {}
-
 
 def masked(crc: int) -> int:
     """Rotated and shifted, so that a checksum of stored checksums stays useful."""
@@ -49,71 +46,6 @@ def frame(payload: bytes) -> bytes:
                      TAIL.pack(masked(zlib.crc32(payload)))))
 
 
-class Encoder(dict):
-    """Whole texts to id bytes; words met before are not encoded again.
-
-    A single space before a visible character always starts a new unit of a
-    byte-level BPE, so a text without double spaces may be cut there and each
-    piece be encoded alone.  Other texts are encoded in one go.
-    """
-
-    def __init__(self, path: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.code = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.width = int(self.code[2:])
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
-
-    def whole(self, text: str) -> bytes:
-        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def __missing__(self, word: str) -> bytes:
-        """Ids of a word that follows a single space."""
-        core = word.rstrip(".,")
-        if core.isalpha() and core.isascii():
-            if core is word or core == word:
-                out = self.packed([t.id for t in self.model.tokenize("Ġ" + word)])
-            else:
-                out = self[core] + self.mark(word[len(core):])
-        else:
-            out = self.whole(" " + word)
-        if len(self) >= MAX_PIECES:
-            self.clear()
-        self[word] = out
-        return out
-
-    def mark(self, signs: str) -> bytes:
-        """Ids of full stops and commas right behind a word."""
-        key = "\0" + signs
-        if key not in self:
-            self[key] = self.whole(signs)
-        return self[key]
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if "  " in text or "\0" in text or any(s in text for s in self.specials):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
-
-
-def encoder(path: str) -> Encoder:
-    """One per worker process, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def store_of(folder: str):
     from pyarrow import fs
 
@@ -131,12 +63,11 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
     spark = docs.sparkSession
     ready(spark)
     data = f"{folder}/data"
-
+    width = 2 if vocabulary_size(tokenizer) <= 1 << 16 else 4
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
      .repartitionByRange(F.col("doc_id").asc_nulls_last())
      .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
-     .mapInArrow(partial(_write_part, data, tokenizer, end_id), INDEX).write.parquet(f"{folder}/index"))
-    width = 2 if vocabulary_size(tokenizer) <= 1 << 16 else 4
+     .mapInArrow(partial(_write_part, data, tokenizer, width, end_id), INDEX).write.parquet(f"{folder}/index"))
     spark.range(1).select(F.lit(width).alias("width")).write.parquet(f"{folder}/format")
 
 
@@ -144,25 +75,25 @@ _INDEX_NAMES = ["part", "file", "seq", "doc_id", "offset", "length", "n_tokens"]
 _INDEX_TYPES = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
 
-def _write_part(data: str, tokenizer: str, end_id: int,
+def _write_part(data: str, tokenizer: str, width: int, end_id: int,
                 batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One data file per task; yields its index rows."""
-    code = encoder(tokenizer)
-    end = code.packed([end_id])
+    code, kind = encoder(tokenizer), f"<u{width}"
+    end = end_id.to_bytes(width, "little")
     part = TaskContext.get().partitionId()
     name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.rec"
     out, at, seq = None, 0, 0
     for batch in batches:
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for doc_id, found in zip(batch.column(0).to_pylist(), code.encoded(batch.column(1))):
             if out is None:
                 store, root = store_of(data)
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{root}/{name}", buffer_size=BUFFER)
-            ids = code.encode(text.as_py() or "") + end
+            ids = found.astype(kind).tobytes() + end
             record = frame(OWNER.pack(doc_id is not None, doc_id or 0) + ids)
             out.write(record)
-            rows.append((part, name, seq, doc_id, at, len(record), len(ids) // code.width))
+            rows.append((part, name, seq, doc_id, at, len(record), len(ids) // width))
             at, seq = at + len(record), seq + 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(x), t) for x, t in zip(zip(*rows), _INDEX_TYPES)] if rows
