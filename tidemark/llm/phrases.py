@@ -12,10 +12,11 @@ The candidates reach the tasks of the second pass as a Bloom filter of bounded s
 What it lets through besides candidates is counted in every shard as well, so that
 counts are exact either way and the support alone decides.
 
-A shard is what a task reads, in parts of ``SHARD`` bytes: memory is bounded.  The
-lowered support falls with the number of shards, to one at last; then the first
-pass prunes by the global bound alone, and a support that grows with the corpus is
-what keeps it small.
+A shard is what a task reads, in parts of ``SHARD`` bytes at most: memory is bounded.
+A corpus has ``SHARDS`` of them at least, so that up to ``SHARD`` * ``SHARDS`` bytes
+the lowered support is the same at every size.  Beyond, it falls with the number of
+shards, to one at last; then the first pass prunes by the global bound alone, and
+only a support that grows with the corpus keeps it small.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from tidemark.llm.syncmers import mixed
 
 #: Occurrences of a candidate, words of the longest one, rows returned per language.
 SUPPORT, LONGEST, BEST = 100, 5, 2_000
-#: Bytes of text that are mined together.
-SHARD = 1 << 25
+#: Bytes of text that are mined together at most, and shards of a corpus at least.
+SHARD, SHARDS = 20_000_000, 32
 #: Bits of the largest filter, probes, and bits of a part of it.
 FILTER_BITS, PROBES, PART_BITS = 1 << 28, 4, 1 << 19
 #: Rows of a per-language table that may be broadcast.
@@ -60,12 +61,13 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], pa.binary())
+        return np.empty(0, np.int32), np.empty(0, np.int32), pa.array([], pa.binary())
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
-    words = pa.Array.from_buffers(pa.binary(), len(starts),
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts).astype(np.int32)
+    del kind, edge, starts, ends
+    words = pa.Array.from_buffers(pa.binary(), len(piece),
                                   [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
-    return words.indices.to_numpy().astype(np.int64), piece, words.dictionary
+    return words.indices.to_numpy(), piece, words.dictionary
 
 
 def word_hashes(lang: str, vocabulary: pa.Array) -> np.ndarray:
@@ -81,7 +83,7 @@ def mined(words: np.ndarray, piece: np.ndarray, hashes: np.ndarray, longest: int
     without its first were kept.
     """
     n = len(words)
-    at, number, before = np.arange(n), words, hashes
+    at, number, before = np.arange(n, dtype=np.int32), words, hashes
     for length in range(1, longest + 1):
         counts = np.bincount(number, minlength=len(before))
         first = np.empty(len(before), np.int64)
@@ -91,15 +93,16 @@ def mined(words: np.ndarray, piece: np.ndarray, hashes: np.ndarray, longest: int
         if length == longest or not kept.any():
             return
         # places whose phrase and whose next place's phrase were kept, within one piece
-        renumbered = np.where(kept, np.cumsum(kept) - 1, -1)
-        here = np.full(n + 1, -1, np.int64)
+        renumbered = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)
+        here = np.full(n + 1, -1, np.int32)
         here[at] = renumbered[number]
-        at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
+        at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0)).astype(np.int32)
         at = at[at + length < n]
         at = at[piece[at] == piece[at + length]]
         if not len(at):
             return
-        keys = pa.array(here[at] * len(hashes) + words[at + length]).dictionary_encode()
+        keys = pa.array(here[at] * np.int64(len(hashes)) + words[at + length]).dictionary_encode()
+        del here, renumbered
         pairs = keys.dictionary.to_numpy()
         before = mixed(before[kept][pairs // len(hashes)] * np.uint64(31) + hashes[pairs % len(hashes)])
         number = keys.indices.to_numpy()
@@ -112,19 +115,36 @@ def phrases_at(first: np.ndarray, length: int, words: np.ndarray, vocabulary: pa
 
 
 def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str, list[bytes], int]]:
-    """(language, its texts, bytes of the language in the corpus), as parts of a task's rows."""
-    held: dict[str, list[bytes]] = {}
-    total: dict[str, int] = {}
+    """(language, its texts, bytes of the language in the corpus), as parts of a task's rows.
+
+    Parts hold ``limit`` bytes, the last one between a half and one and a half of that,
+    as a small remainder would be mined at a low support.
+    """
+    held: list[tuple[str, bytes, int]] = []
     size = 0
+
+    def taken(upto: int) -> Iterator[tuple[str, list[bytes], int]]:
+        nonlocal held, size
+        texts: dict[str, list[bytes]] = {}
+        total: dict[str, int] = {}
+        taken_size = n = 0
+        while n < len(held) and (taken_size < upto or not n):
+            lang, text, whole = held[n]
+            texts.setdefault(lang, []).append(text)
+            total[lang], taken_size, n = whole, taken_size + len(text), n + 1
+        held, size = held[n:], size - taken_size
+        return ((lang, own, total[lang]) for lang, own in texts.items())
+
     for batch in batches:
         for lang, text, whole in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            text = text.as_py()
-            held.setdefault(lang, []).append(text)
-            total[lang], size = whole, size + len(text)
-            if size >= limit:
-                yield from ((x, t, total[x]) for x, t in held.items())
-                held, size = {}, 0
-    yield from ((x, t, total[x]) for x, t in held.items())
+            held.append((lang, text.as_py(), whole))
+            size += len(held[-1][1])
+            if size >= 2 * limit:
+                yield from taken(limit)
+    if size > 1.5 * limit:
+        yield from taken(size // 2)
+    while held:
+        yield from taken(size + 1)
 
 
 def _locally_frequent(support: int, longest: int, limit: int,
@@ -210,13 +230,15 @@ def per_language(df: DataFrame) -> DataFrame:
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST,
-                     shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+                     shard: int = SHARD, least: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases with ``support`` occurrences, and (lang, words_total)."""
     spark = docs.sparkSession
     ready(spark)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"),
                         F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     sizes = per_language(texts.groupBy("lang").agg(F.sum(F.octet_length("text")).cast("long").alias("whole")))
+    whole = sizes.agg(F.sum("whole")).first()[0] or 0
+    shard = min(shard, max(1, whole // least))
     dealt = texts.join(sizes, "lang").select("lang", "text", "whole")
     local = stored(dealt.mapInArrow(partial(_locally_frequent, support, longest, shard), LOCAL), "local")
     totals = per_language(local.where("hash IS NULL").groupBy("lang").agg(
