@@ -245,6 +245,7 @@ BARRIER = 0.25               # triple-barrier class, in units of volatility
 TARGET_CLIP = 3.0
 WARMUP_DAYS = 252
 RENEWED_DAYS = 28            # days before a run that a late observation can reach
+FRAME_ROWS = 210             # rows that any feature looks back on, besides averages
 MAX_GAP_DAYS = 7             # staleness limit of a macro observation
 FILL_LIMIT_ROWS = 5          # bounded fill on joined rows
 DEFAULT_START = date(2015, 1, 1)

@@ -46,13 +46,18 @@ def plan_passes(rows: int) -> tuple[int, int]:
 
 
 def with_ema(df: DataFrame, series: Series,
-             targets: dict[str, tuple[str, int]], gaps: bool = False) -> DataFrame:
+             targets: dict[str, tuple[str, int]], gaps: bool = False,
+             carried: str | None = None) -> DataFrame:
     """Add EMA columns: ``targets`` maps output name -> (input column, span).
 
     All targets advance together, one Window operator per pass.  Without
     ``gaps`` inputs must be non-null; seeds and LAG defaults are therefore
     never null, which keeps the generated projection small enough for the JIT
     even with many targets.  Inputs that may be null need ``gaps``.
+
+    ``carried`` names a struct column, null for series that start in ``df``: the
+    row ``order`` from which an average goes on and its value there, by output
+    name.  Rows before it hold nothing of use.
     """
     if gaps:
         for out, (src, span) in targets.items():
@@ -60,10 +65,8 @@ def with_ema(df: DataFrame, series: Series,
         return df
     keys = ", ".join(series.keys) or "0"
     over = f"OVER (PARTITION BY {keys} ORDER BY {series.order})"
-    df = df.withColumns({
-        out: F.expr(f"coalesce({src}, 0D) * CASE WHEN row_number() {over} = 1"
-                    f" THEN 1D ELSE {1.0 - decay(span)!r}D END")
-        for out, (src, span) in targets.items()})
+    df = df.withColumns({out: F.expr(_seed_sql(out, src, span, series.order, over, carried))
+                         for out, (src, span) in targets.items()})
     passes, radix = plan_passes(max(rows_needed(n) for _, n in targets.values()))
     for level in range(passes):
         step = radix ** level
@@ -74,6 +77,19 @@ def with_ema(df: DataFrame, series: Series,
     return df
 
 
+def _seed_sql(out: str, src: str, span: int, order: str, over: str, carried: str | None) -> str:
+    """What a row adds: all of its value where the series starts, its share later.
+
+    A carried average stands for all rows up to its own.
+    """
+    share = f"{1.0 - decay(span)!r}D"
+    fresh = f"coalesce({src}, 0D) * CASE WHEN row_number() {over} = 1 THEN 1D ELSE {share} END"
+    if not carried:
+        return fresh
+    return (f"CASE WHEN {carried} IS NULL THEN {fresh} WHEN {order} < {carried}.{order} THEN 0D"
+            f" WHEN {order} = {carried}.{order} THEN {carried}.{out} ELSE coalesce({src}, 0D) * {share} END")
+
+
 def _with_gapped_ema(df: DataFrame, series: Series, out: str, src: str,
                      span: int) -> DataFrame:
     """EMA of a column with missing values.

@@ -143,10 +143,17 @@ HELPERS = ["_gain", "_loss", "_prev_ret", "_rn", "macd_line", "macd_signal", "_d
 
 
 SMOOTHED = {"ema_20", "ema_50", "macd_hist", "adx_14"}
+#: Averages that a later run goes on from.
+CARRIED = ["ema_20", "ema_50", "_ema_fast", "_ema_slow", "_tr_ema", "_up_ema",
+           "_down_ema", "macd_signal", "adx_14"]
 
 
-def _smoothed(df: DataFrame, s: Series, wanted: set[str], gaps: bool) -> DataFrame:
-    """EMA-based indicators; two chained passes for MACD and ADX."""
+def _smoothed(df: DataFrame, s: Series, wanted: set[str], gaps: bool,
+              carried: str | None = None, keep: bool = False) -> DataFrame:
+    """EMA-based indicators; two chained passes for MACD and ADX.
+
+    ``keep`` adds ``_state``: the averages of ``CARRIED`` at each row.
+    """
     first = {n: ("close", int(n[4:])) for n in ("ema_20", "ema_50") if n in wanted}
     second, lines = {}, {}
     if "macd_hist" in wanted:
@@ -158,30 +165,35 @@ def _smoothed(df: DataFrame, s: Series, wanted: set[str], gaps: bool) -> DataFra
                   "_down_ema": ("_dm_down", 14)}
         lines["_dx"] = _directional_index()
         second["adx_14"] = ("_dx", 14)
-    df = with_ema(df, s, first, gaps)
+    df = with_ema(df, s, first, gaps, carried)
     if not second:
         return df
-    df = df.withColumns(lines).drop("_ema_fast", "_ema_slow", "_tr_ema", "_up_ema",
-                                    "_down_ema")
-    df = with_ema(df, s, second, gaps)
+    inner = ["_ema_fast", "_ema_slow", "_tr_ema", "_up_ema", "_down_ema"]
+    df = df.withColumns(lines)
+    df = with_ema(df if keep else df.drop(*inner), s, second, gaps, carried)
+    if keep:
+        df = df.withColumn("_state", F.struct(s.order, *CARRIED)).drop(*inner)
     if "macd_hist" in wanted:
         df = df.withColumn("macd_hist", C("macd_line") - C("macd_signal"))
     return df
 
 
 def technical_features(bars: DataFrame, s: Series = BY_SYMBOL,
-                       keep_macd: bool = False, wanted=None, gaps: bool = False) -> DataFrame:
+                       keep_macd: bool = False, wanted=None, gaps: bool = False,
+                       carried: str | None = None, keep_state: bool = False) -> DataFrame:
     """The full technical set next to the bar columns.
 
     ``wanted`` names the outputs a caller needs: smoothed indicators outside it
     are not planned at all, everything else unused is pruned by Catalyst.
     ``gaps``: prices may be missing; smoothed indicators then carry over them.
+    ``carried`` names a column with the ``_state`` that an earlier run kept: ``bars``
+    then need to reach back only as far as the widest frame.
     """
     wanted = SMOOTHED if wanted is None else SMOOTHED & set(wanted)
     df = bars.withColumns(_moves(s))
     if wanted:
         # smoothed indicators first, while rows are narrow
-        df = _smoothed(df, s, wanted, gaps)
+        df = _smoothed(df, s, wanted, gaps, carried, keep_state)
     df = df.drop("_dm_up", "_dm_down").withColumns({
         **log_returns(s=s), **moving_averages(s=s), **drawdowns(s=s),
         **price_ranges(), **volume_features(s), **calendar_features(s),

@@ -43,9 +43,24 @@ def with_context(df: DataFrame, *frames: DataFrame | None,
     return with_event_flags(df, events)
 
 
-def build_features(inputs: Inputs) -> DataFrame:
-    """Technical -> context -> bounded fill -> regimes -> lags."""
-    df = technical_features(inputs.etf_bars)
+def build_features(inputs: Inputs, state: DataFrame | None = None,
+                   keep_state: bool = False) -> DataFrame:
+    """Technical -> context -> bounded fill -> regimes -> lags.
+
+    ``state`` holds (symbol, state): the averages that series go on from, where
+    the inputs reach back only as far as the widest frame.  ``keep_state`` adds
+    ``_state`` and ``_frame_from``, the day ``FRAME_ROWS`` rows before.
+    """
+    bars = inputs.etf_bars
+    if state is not None:
+        bars = bars.join(state.select("symbol", F.col("state").alias("_carried")), "symbol", "left")
+    df = technical_features(bars, carried=None if state is None else "_carried",
+                            keep_state=keep_state)
+    if state is not None:
+        df = df.drop("_carried")
+    if keep_state:
+        first = F.min("date").over(BY_SYMBOL.whole)
+        df = df.withColumn("_frame_from", F.coalesce(BY_SYMBOL.lag("date", cfg.FRAME_ROWS), first))
     df = with_context(df, macro_features(inputs.macro),
                       proxy_features(inputs.bars),
                       relative_strength(inputs.bars), events=inputs.events)
