@@ -1,4 +1,4 @@
-"""Direction classifiers as MLlib pipelines."""
+"""Direction classifiers: MLlib pipelines and the boosted trees of this package."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ from dataclasses import asdict, dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .boosting import BoostedTrees, BoostParams, fit_boosted
 from .preparation import Preprocessor, with_class_weights
 
 C = F.col
@@ -22,22 +22,15 @@ MODEL_PARAMS = {
     "logistic_regression": {"maxIter": 1000},
     "random_forest": {"numTrees": 100, "maxDepth": 10,
                       "minInstancesPerNode": 20, "seed": 42},
-    "lightgbm": {"maxIter": 200, "stepSize": 0.05, "maxDepth": 8,
-                 "minInstancesPerNode": 50, "subsamplingRate": 0.8,
-                 "featureSubsetStrategy": "0.8", "seed": 42},
-    "xgboost": {"maxIter": 200, "stepSize": 0.05, "maxDepth": 6,
-                "minInstancesPerNode": 5, "subsamplingRate": 0.8,
-                "featureSubsetStrategy": "0.8", "seed": 42},
+    "lightgbm": {"trees": 200, "rate": 0.05, "leaves": 31, "depth": 8, "min_rows": 50,
+                 "row_share": 0.8, "column_share": 0.8, "l1": 0.1, "l2": 0.1, "seed": 42},
+    "xgboost": {"trees": 200, "rate": 0.05, "leaves": None, "depth": 6, "min_curvature": 5.0,
+                "row_share": 0.8, "column_share": 0.8, "l1": 0.1, "l2": 1.0, "seed": 42},
 }
 _FAMILIES = {"logistic_regression": LogisticRegression,
-             "random_forest": RandomForestClassifier,
-             "lightgbm": GBTClassifier, "xgboost": GBTClassifier}
-#: Families of two-class learners: more classes take one model each, against the rest.
+             "random_forest": RandomForestClassifier}
 BOOSTED = {"lightgbm", "xgboost"}
-
-
-def one_against_rest(name: str, classes) -> bool:
-    return name in BOOSTED and len(classes) > 2
+PROBABILITIES = {-1: "p_down", 0: "p_hold", 1: "p_up"}
 
 
 @dataclass
@@ -47,29 +40,25 @@ class TrainedModel:
     name: str
     target: str
     prep: Preprocessor
-    pipeline: PipelineModel
+    pipeline: PipelineModel | BoostedTrees
     classes: list[int]
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         """Input rows with ``p_down``/``p_up`` (``p_hold`` for three classes)."""
-        scored = self.pipeline.transform(self.prep.transform(df))
-        names = {-1: "p_down", 0: "p_hold", 1: "p_up"}
-        if one_against_rest(self.name, self.classes):
-            own = [vector_to_array(f"_probability_{i}")[1] for i in range(len(self.classes))]
-            total = sum(own[1:], own[0])
-            probs = [F.when(total > 0, p / total).otherwise(1.0 / len(own)) for p in own]
-            return scored.withColumns(
-                {names[k]: probs[i] for i, k in enumerate(self.classes)}).drop(
-                "features", *[f"_{c}_{i}" for i in range(len(own))
-                              for c in ("raw", "probability", "prediction")])
+        rows, names = self.prep.transform(df), [PROBABILITIES[k] for k in self.classes]
+        if isinstance(self.pipeline, BoostedTrees):
+            return rows.withColumns(dict(zip(names, self.pipeline.probabilities())))
         probs = vector_to_array("probability")
-        return scored.withColumns({names[k]: probs[i]
-                                   for i, k in enumerate(self.classes)}).drop(
+        return self.pipeline.transform(rows).withColumns(
+            {name: probs[i] for i, name in enumerate(names)}).drop(
             "features", "rawPrediction", "probability", "prediction")
 
     def save(self, path: str, metrics: dict | None = None) -> None:
         spark = SparkSession.active()
-        self.pipeline.write().save(f"{path}/model")
+        if isinstance(self.pipeline, BoostedTrees):
+            self.pipeline.save(f"{path}/model")
+        else:
+            self.pipeline.write().save(f"{path}/model")
         meta = json.dumps({"name": self.name, "target": self.target,
                            "classes": self.classes, "prep": asdict(self.prep),
                            "metrics": metrics or {}})
@@ -81,8 +70,9 @@ class TrainedModel:
         meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
         prep = Preprocessor(**meta["prep"])
         prep.scales = {k: tuple(v) for k, v in prep.scales.items()}
-        return TrainedModel(meta["name"], meta["target"], prep,
-                            PipelineModel.load(f"{path}/model"), meta["classes"])
+        pipeline = (BoostedTrees.load(spark, f"{path}/model") if meta["name"] in BOOSTED
+                    else PipelineModel.load(f"{path}/model"))
+        return TrainedModel(meta["name"], meta["target"], prep, pipeline, meta["classes"])
 
 
 def train(train_df: DataFrame, features: list[str], target: str, name: str,
@@ -107,20 +97,17 @@ def train(train_df: DataFrame, features: list[str], target: str, name: str,
         params = {**MODEL_PARAMS[name], **overrides}
         if weighted:
             rows = with_class_weights(rows, target)
-            params["weightCol"] = "weight"
+            if name not in BOOSTED:
+                params["weightCol"] = "weight"
         if name == "logistic_regression":
             # unit inverse regularisation over the summed loss
             params.setdefault("regParam", 1.0 / max(rows.count(), 1))
-        assembler = VectorAssembler(inputCols=prep.kept, outputCol="features")
-        learners = [_FAMILIES[name](**params)]
-        if one_against_rest(name, classes):
-            rows = rows.withColumns({f"_is_{i}": (C("label") == i).cast("double")
-                                     for i in range(len(classes))})
-            learners = [_FAMILIES[name](
-                **params, labelCol=f"_is_{i}", predictionCol=f"_prediction_{i}")
-                .setRawPredictionCol(f"_raw_{i}").setProbabilityCol(f"_probability_{i}")
-                for i in range(len(classes))]
-        fitted = Pipeline(stages=[assembler, *learners]).fit(rows)
+        if name in BOOSTED:
+            fitted = fit_boosted(rows, prep.kept, "label", len(classes),
+                                 "weight" if weighted else None, BoostParams(**params))
+        else:
+            assembler = VectorAssembler(inputCols=prep.kept, outputCol="features")
+            fitted = Pipeline(stages=[assembler, _FAMILIES[name](**params)]).fit(rows)
     finally:
         train_df.unpersist()
     return TrainedModel(name, target, prep, fitted, list(classes))

@@ -325,7 +325,7 @@ def three_class_boosting(spark, sf):
     out = None
     for name in ("lightgbm", "xgboost"):
         model = MD.train(parts.where("split = 'train'"), P.feature_columns(data), "y_class_1d", name,
-                         classes=(-1, 0, 1), maxIter=5)
+                         classes=(-1, 0, 1), trees=5)
         p = model.probabilities(parts).select("split", "p_down", "p_hold", "p_up")
         low, total = F.least("p_down", "p_hold", "p_up"), C("p_down") + C("p_hold") + C("p_up")
         counts = p.groupBy("split").agg(F.count("*").alias("rows"), F.count_if(
