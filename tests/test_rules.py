@@ -9,12 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.ema import with_ema
-from tidemark.functions.rolling import Series
+from tidemark.functions.rolling import Series, with_moments
 from tidemark.functions.scalars import clip, flag, to_int
 from tidemark.operators import technical as T
 from tidemark.operators.lags import lag_leakage, with_lags
 from tidemark.operators.macro import (align_to_trading_days, bounded_fill,
                                       dedupe_by_day, fill_with_tracking)
+from tidemark.operators.normalization import normalise
+from tidemark.operators.quality import feature_count, label_overlap
 from tidemark.operators.regimes import with_regimes
 from tidemark.operators.targets import build_labels
 from tidemark.sources.local import local_frame
@@ -189,3 +191,51 @@ def test_regimes_without_inputs_are_zero(spark):
     row = with_regimes(frame(spark, [1.0])).first()
     assert (row.high_vol_regime, row.curve_inverted, row.credit_stress,
             row.liquidity_expanding_regime) == (0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 20, 252])
+def test_merged_moments_equal_direct_ones(spark, width):
+    rng = np.random.default_rng(width)
+    xs = rng.normal(size=400)
+    xs[150:] += 1e9      # a far step: differences of large sums would lose it
+    xs = [None if rng.random() < 0.1 else float(x) for x in xs]
+    got = with_moments(frame(spark, xs), S, "x", width, "w").orderBy("date").collect()
+    for i, r in enumerate(got):
+        own = [x for x in xs[max(0, i - width + 1):i + 1] if x is not None]
+        assert r.w_n == len(own)
+        if own:
+            assert r.w_mean == pytest.approx(np.mean(own), rel=1e-12)
+            assert r.w_squares == pytest.approx(len(own) * np.var(own), rel=1e-6, abs=1e-9)
+
+
+def test_normalised_columns_keep_their_place(spark):
+    rng = np.random.default_rng(1)
+    rows = [(s, D0 + timedelta(days=i), float(rng.normal()), i % 2, float(rng.normal() * 3), None)
+            for s in "AB" for i in range(60)]
+    df = local_frame(spark, rows, "symbol string, date date, x double, dow int, overnight_share double, gone double")
+    out = normalise(df, window=20)
+    assert out.columns == df.columns
+    got = {(r.symbol, r.date): r for r in out.collect()}
+    for s in "AB":
+        own = pd.DataFrame([r[2] for r in rows if r[0] == s])[0]
+        roll = own.rolling(20, min_periods=10)
+        want = ((own - roll.mean()) / (roll.std() + 1e-9)).clip(-5, 5)
+        same([got[s, D0 + timedelta(days=i)].x for i in range(60)], want.tolist())
+    assert all(r.gone is None and abs(r.overnight_share) <= 1 for r in got.values())
+
+
+def test_checks_see_a_planted_leak(spark):
+    xs = [float(i * i % 17) for i in range(30)]
+    base = frame(spark, xs, "log_ret_1d")
+    right = with_lags(base, {"log_ret_1d": [1, 2]})
+    leaking = right.withColumn("log_ret_1d_lag2", F.col("log_ret_1d_lag1"))
+    assert [(r.early_values, r.mismatches) for r in lag_leakage(right).orderBy("column").collect()] == [(0, 0)] * 2
+    (ok, bad) = lag_leakage(leaking).orderBy("column").collect()
+    assert (ok.early_values, ok.mismatches) == (0, 0) and bad.early_values == 1 and bad.mismatches > 10
+    bars = frame(spark, xs, "close")
+    labels = bars.withColumn("y_1d", flag(S.lead("close") > F.col("close")))
+    late = bars.withColumn("y_1d", flag(F.col("close") > S.lag("close")))
+    assert label_overlap(bars, labels).first().status == "PASS"
+    assert label_overlap(bars, late).first().status == "FAIL"
+    assert feature_count(bars, 2, ("symbol", "date")).first().status == "WARN"
+    assert feature_count(bars, 1, ("symbol", "date")).first().status == "PASS"

@@ -8,7 +8,7 @@ bounds its size by the calendar no matter how many raw rows were aggregated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scalars import safe_div
@@ -123,3 +123,47 @@ class Series:
         newer = (self.filled_before(value, shift) if shift
                  else self.filled(value))
         return safe_div(newer, self.filled_before(value, shift + n)) - 1
+
+
+def with_moments(df: DataFrame, s: Series, value: str, width: int, out: str) -> DataFrame:
+    """Count, mean and centred squares of ``value`` over the last ``width`` rows.
+
+    Adds ``<out>_n``, ``<out>_mean`` and ``<out>_squares``.  Moments of blocks are merged:
+    those of 2, 4, 8 ... rows from two halves each, by LAGs at constant offsets,
+    and those of the frame from the blocks that its width is made of.  A row costs
+    log2(width) merges instead of ``width`` updates, and no large sums are
+    subtracted from each other, so a far offset takes no digits away.
+    """
+    keys = ", ".join(f"`{k}`" for k in s.keys) or "0"
+    over = f"OVER (PARTITION BY {keys} ORDER BY {s.order})"
+    parts, zeros = ("n", "mean", "squares"), {"n": "0L", "mean": "0D", "squares": "0D"}
+    known = f"`{value}` IS NOT NULL"
+    df = df.withColumns({"_b_n": F.expr(f"IF({known}, 1L, 0L)"), "_b_mean": F.expr(f"coalesce(`{value}`, 0D)"),
+                         "_b_squares": F.lit(0.0)})
+    covered, size = 0, 1
+    while size <= width:
+        last = size * 2 > width
+        # the block behind what the frame has so far, and the one behind the block itself
+        wanted = {"_p": covered} if width & size else {}
+        wanted |= {} if last else {"_q": size}
+        df = df.withColumns({f"{name}_{part}": F.expr(f"lag(_b_{part}, {offset}, {zeros[part]}) {over}")
+                             if offset else F.col(f"_b_{part}")
+                             for name, offset in wanted.items() for part in parts})
+        merged = {}
+        if "_p" in wanted:
+            merged |= _merged_moments(out, "_p", out) if covered else {
+                f"{out}_{part}": F.col(f"_p_{part}") for part in parts}
+            covered += size
+        if not last:
+            merged |= _merged_moments("_b", "_q", "_b")
+        df = df.withColumns(merged).drop(*[f"{name}_{part}" for name in wanted for part in parts])
+        size *= 2
+    return df.drop(*[f"_b_{part}" for part in parts])
+
+
+def _merged_moments(a: str, b: str, out: str) -> dict[str, Column]:
+    n, apart = f"({a}_n + {b}_n)", f"({b}_mean - {a}_mean)"
+    return {f"{out}_n": F.expr(n),
+            f"{out}_mean": F.expr(f"{a}_mean + coalesce(try_divide({apart} * {b}_n, {n}), 0D)"),
+            f"{out}_squares": F.expr(f"{a}_squares + {b}_squares"
+                                     f" + coalesce(try_divide({apart} * {apart} * {a}_n * {b}_n, {n}), 0D)")}

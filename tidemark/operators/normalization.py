@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as cfg
-from ..functions.rolling import Series
+from ..functions.rolling import Series, with_moments
 from ..functions.scalars import clip
 from ..sources.local import local_frame
 from .technical import BY_SYMBOL
@@ -15,26 +15,44 @@ C = F.col
 NOT_FEATURES = {"date", "symbol", "asset_id"}
 
 
-def rolling_zscore(name: str, window: int = 252, s: Series = BY_SYMBOL) -> Column:
-    """Z-score over the window, available from half a window of values on."""
-    mean = s.mean(name, window, min_rows=window // 2)
-    std = s.std(name, window, min_rows=window // 2)
-    return (C(name) - mean) / (std + 1e-9)
+def rolling_zscores(df: DataFrame, features: list[str], window: int = 252,
+                    s: Series = BY_SYMBOL) -> DataFrame:
+    """Keys, order and the z-score of each feature, from half a window of values on.
+
+    Features are set below each other, so that every (series, feature) is a window
+    partition of its own: work is spread by features as well as by series.
+    """
+    entries = F.array(*[F.struct(F.lit(i).alias("_f"), C(f"`{f}`").cast("double").alias("_v"))
+                        for i, f in enumerate(features)])
+    long = df.select(*s.keys, s.order, F.inline(entries))
+    moments = with_moments(long, Series([*s.keys, "_f"], s.order), "_v", window, "_w")
+    std = F.sqrt(C("_w_squares") / (C("_w_n") - 1))
+    z = F.when(C("_w_n") >= window // 2, (C("_v") - C("_w_mean")) / (std + 1e-9))
+    return moments.withColumn("_z", z).groupBy(*s.keys, s.order).agg(*[
+        F.max(F.when(C("_f") == i, C("_z"))).alias(f) for i, f in enumerate(features)])
 
 
 def normalise(df: DataFrame, features: list[str] | None = None,
               window: int = 252, bound: float = 5.0,
               s: Series = BY_SYMBOL) -> DataFrame:
-    """Z-score and clip continuous features; flags and vol-scaled ones stay."""
+    """Z-score and clip continuous features; flags and vol-scaled ones stay.
+
+    ``df`` has one row per key and day.
+    """
     if features is None:
         fixed = set(cfg.BINARY_FEATURES + cfg.VOL_SCALED_FEATURES)
         features = [c for c in df.columns
                     if c not in NOT_FEATURES and c not in fixed]
-    updates = {f: clip(rolling_zscore(f, window, s), -bound, bound)
-               for f in features if f in df.columns}
-    if "overnight_share" in df.columns:
-        updates["overnight_share"] = clip(C("overnight_share"), -1.0, 1.0)
-    return df.withColumns(updates)
+    features = [f for f in features if f in df.columns]
+    names = df.columns
+    if features:
+        scores = rolling_zscores(df, features, window, s)
+        rest = df.drop(*features)
+        df = rest.join(scores, [*s.keys, s.order]).select(*[
+            clip(C(f"`{c}`"), -bound, bound).alias(c) if c in features else C(f"`{c}`") for c in names])
+    if "overnight_share" in names:
+        df = df.withColumn("overnight_share", clip(C("overnight_share"), -1.0, 1.0))
+    return df
 
 
 def distribution_profile(df: DataFrame, names: list[str] | None = None):

@@ -136,8 +136,7 @@ def recent_labels_listing(spark, sf):
 
 
 # --- distribution profile -------------------------------------------------------------
-_PROFILE = ["log_ret_1d", "rsi_14", "volume_z", "dow", "sma20_gt_sma50", "vix_level",
-            "yield_curve_slope", "dd_60", "credit_stress", "vol_20"]
+_PROFILE = cfg.MODEL_FEATURES
 
 
 def _profile_sql(c):
@@ -146,7 +145,7 @@ def _profile_sql(c):
     return f"""SELECT '{c}' AS feature, {r(f'avg({c})', 4, 'mean')},
   {r(f'stddev_samp({c})', 4, 'std')}, {r(f'min({c})', 4, 'min')}, {r(f'max({c})', 4, 'max')},
   {r(f'100.0 * (count(*) - count({c})) / count(*)', 4, 'pct_null')},
-  {beyond} AS outliers_beyond_5, {str(binary).lower()} AS is_binary FROM feats"""
+  {beyond} AS outliers_beyond_5, {str(binary).lower()} AS is_binary FROM dataset"""
 
 
 @query("distribution_profile", "K15", " UNION ALL ".join(_profile_sql(c) for c in _PROFILE))
@@ -207,20 +206,31 @@ def check_null_pattern(spark, sf):
         tables(spark, sf).features, ["sma_200", "vol_60"]))
 
 
-@_check("check_label_shift", "K5", """
-SELECT 'label_shift' AS check_name, 'PASS' AS status,
-  count(*) || ' overlapping rows, 0 not shifted forward' AS details
-FROM bars JOIN lab USING (symbol, date)""")
+@_check("check_label_shift", "K5", f"""
+SELECT 'label_shift' AS check_name, {_verdict('n > 0 AND bad = 0')},
+  n || ' overlapping rows, ' || bad || ' not shifted forward' AS details
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE y_1d <> CASE WHEN next > close THEN 1 ELSE 0 END) AS bad
+  FROM (SELECT symbol, date, close, lead(close) OVER (PARTITION BY symbol ORDER BY date) AS next FROM bars)
+  JOIN (SELECT symbol, date, y_1d FROM lab) USING (symbol, date))""")
 def check_label_shift(spark, sf):
     t = tables(spark, sf)
     return Q.label_overlap(t.bars, t.labels)
 
 
-@_check("check_feature_count", "K6", f"""
-SELECT 'feature_count' AS check_name, 'PASS' AS status,
-  '53 features (expected 53)' AS details WHERE (SELECT count(*) FROM dataset) > 0
-UNION ALL SELECT 'feature_count', 'WARN',
-  '{len(cfg.MODEL_FEATURES)} features (expected 83)' WHERE (SELECT count(*) FROM dataset) > 0""")
+def _count_sql(expected, names, rows):
+    """Columns of the view's rows that are no keys and no target, counted from the rows."""
+    kept = "[x for x in json_keys(to_json(v)) if x NOT IN ('symbol', 'date', 'y_class_1d', 'primary_target')]"
+    return f"""SELECT 'feature_count' AS check_name, CASE WHEN n = {expected} THEN 'PASS' ELSE 'WARN' END AS status,
+  n || ' features (expected {expected})' AS details
+FROM (SELECT max(len({kept})) AS n FROM (SELECT {names} FROM {rows} LIMIT 1) v)"""
+
+
+_PRUNED_SQL = ", ".join(["symbol", "date", *cfg.PRUNED_FEATURES])
+_WIDE_SQL = ", ".join(["symbol", "date", *cfg.MODEL_FEATURES])
+
+
+@_check("check_feature_count", "K6", f"""{_count_sql(53, _PRUNED_SQL, 'dataset')}
+UNION ALL {_count_sql(83, _WIDE_SQL, 'dataset')}""")
 def check_feature_count(spark, sf):
     t = tables(spark, sf)
     return Q.report([
@@ -312,7 +322,7 @@ def _dist_sql(c):
     return f"""SELECT 'distribution:{c}' AS check_name,
   CASE WHEN {bad} THEN 'WARN' ELSE 'PASS' END AS status,
   printf('%.1f%% null, %d beyond 5', 100.0 * (count(*) - count({c})) / count(*),
-    {beyond}) AS details FROM feats"""
+    {beyond}) AS details FROM dataset"""
 
 
 @_check("check_distributions", "K15", " UNION ALL ".join(_dist_sql(c) for c in _PROFILE))
@@ -354,13 +364,52 @@ def check_rows_per_symbol(spark, sf):
     return Q.rows_per_symbol(_classed(spark, sf).where("y_class_1d IS NOT NULL"))
 
 
-@query("classification_quality_report", "K20")
+_ROWS = ("(SELECT symbol, date, {t} FROM {l} JOIN (SELECT symbol, date FROM bars) USING (symbol, date)"
+         " WHERE {t} IS NOT NULL)")
+_CLASSED = _ROWS.format(t="y_class_1d", l="lab3")
+_TARGETS = _ROWS.format(t="primary_target", l="lab")
+
+
+def _null_targets_sql(target, rows):
+    return f"""SELECT 'no_null_targets' AS check_name, {_verdict('n = 0')},
+  n || ' rows with NULL {target} of ' || total || ' after warm-up' AS details
+FROM (SELECT count(*) - count({target}) AS n, count(*) AS total FROM {rows}
+      WHERE date > (SELECT min(date) FROM {rows}) + 252)"""
+
+
+def _duplicates_sql(rows):
+    return f"""SELECT 'no_duplicates', {_verdict('n = 0')}, n || ' duplicate (symbol, date) pairs'
+FROM (SELECT count(*) AS n FROM (SELECT symbol, date FROM {rows} GROUP BY ALL HAVING count(*) > 1))"""
+
+
+@query("classification_quality_report", "K20", f"""
+{_null_targets_sql('y_class_1d', _CLASSED)}
+UNION ALL SELECT 'valid_class_values', {_verdict('n = 0')}, n || ' rows with invalid class values'
+FROM (SELECT count(*) FILTER (WHERE y_class_1d NOT IN (-1, 0, 1)) AS n FROM {_CLASSED})
+UNION ALL SELECT 'class_balance', CASE WHEN {_share(0)} > 90 THEN 'FAIL' WHEN {_share(0)} > 85 THEN 'WARN'
+  ELSE 'PASS' END, printf('Buy=%.1f%%, Hold=%.1f%%, Sell=%.1f%%', {_share(1)}, {_share(0)}, {_share(-1)})
+FROM {_CLASSED}
+UNION ALL {_duplicates_sql(_CLASSED)}
+UNION ALL {_count_sql(len(cfg.MODEL_FEATURES), _WIDE_SQL, 'dataset')}
+UNION ALL SELECT 'hold_share:' || symbol, 'INFO', printf('Hold=%.1f%%', {_share(0)}) FROM {_CLASSED} GROUP BY symbol
+UNION ALL SELECT 'row_count_per_symbol', 'INFO', printf('%d symbols with avg %.0f rows each', count(*), avg(n))
+FROM (SELECT symbol, count(*) AS n FROM {_CLASSED} GROUP BY symbol)""")
 def classification_quality_report(spark, sf):
     df = V.classification_dataset(tables(spark, sf), labels=_classed(spark, sf))
     return Q.classification_report_checks(df)
 
 
-@query("regression_quality_report", "K20")
+@query("regression_quality_report", "K20", f"""
+{_null_targets_sql('primary_target', _TARGETS)}
+UNION ALL {_duplicates_sql(_TARGETS)}
+UNION ALL SELECT 'target_variance', {_verdict('n = 0')}, n || ' symbols with zero target variance'
+FROM (SELECT count(*) AS n FROM (SELECT symbol FROM {_TARGETS} GROUP BY symbol
+      HAVING coalesce(stddev_samp(primary_target), 0) = 0))
+UNION ALL {_count_sql(len(cfg.MODEL_FEATURES), _WIDE_SQL, 'dataset')}
+UNION ALL SELECT 'extreme_outliers', {_verdict('n = 0')}, n || ' rows with |primary_target| > 3.0'
+FROM (SELECT count(*) FILTER (WHERE abs(primary_target) > 3) AS n FROM {_TARGETS})
+UNION ALL SELECT 'date_range', {_verdict('(b - a) / 365.25 >= 10', 'WARN')},
+  a || ' to ' || b || ' (' || (b - a) || ' days)' FROM (SELECT min(date) AS a, max(date) AS b FROM {_TARGETS})""")
 def regression_quality_report(spark, sf):
     return Q.regression_report_checks(V.regression_dataset_optimized(tables(spark, sf)))
 

@@ -509,7 +509,7 @@ def missing_rate_drop(spark, sf):
     return round_frame(df.withColumn("dropped", C("missing_rate") > 0.30))
 
 
-_IMP = ["rsi_14", "vol_20", "sma_200", "vix_level", "dgs10", "rsp_spy_ratio"]
+_IMP = cfg.MODEL_FEATURES
 
 
 @query("median_imputation", "D4", "SELECT symbol, date, " + ", ".join(
@@ -522,7 +522,7 @@ def median_imputation(spark, sf):
 
 
 @query("standard_scaling", "D5", "SELECT symbol, date, " + ", ".join(
-    r(f"(coalesce(d.{c}, m.m_{c}) - s.a_{c}) / s.s_{c}", 6, c) for c in _IMP)
+    r(f"(coalesce(d.{c}, m.m_{c}) - s.a_{c}) / coalesce(nullif(s.s_{c}, 0), 1)", 6, c) for c in _IMP)
     + " FROM dataset d JOIN lab l USING (symbol, date), (SELECT "
     + ", ".join(f"median({c}) AS m_{c}" for c in _IMP) + " FROM train1) m, (SELECT "
     + ", ".join(f"avg(coalesce({c}, m_{c})) AS a_{c}, stddev_pop(coalesce({c}, m_{c})) AS s_{c}"

@@ -9,7 +9,8 @@ from ..functions.ema import with_ema
 from ..functions.rolling import Series
 from ..functions.scalars import round_frame
 from ..operators import technical as T
-from ..operators.lags import lag_leakage, with_lags
+from ..operators.feature_store import unpack_features
+from ..operators.lags import lag_leakage, lag_names, with_lags
 from ..operators.normalization import normalise
 from ..sources import files, market
 from .base_sql import over, pct, r, roll, rs
@@ -17,6 +18,7 @@ from .registry import query
 
 KEY = ["symbol", "date"]
 W = over()
+FINE = 10  # digits off the grid that macro values lie on
 
 
 # Digits beyond any exact decimal tie of a price average, and few enough for
@@ -165,23 +167,37 @@ def wide_universe_returns(spark, sf):
 
 
 # --- lags and normalisation ----------------------------------------------------------
-@query("lagged_features", "W21", f"""
-SELECT symbol, date, {', '.join(r(f'lag(log_ret_1d, {n}) {W}', 6, f'log_ret_1d_lag{n}')
-                                for n in (1, 2, 3, 5))} FROM t1""")
-def lagged_features(spark, sf):
-    df = with_lags(market.etf_bars(spark, sf).withColumns(T.log_returns((1,))))
-    return round_frame(df.select(*KEY, *[f"log_ret_1d_lag{n}" for n in (1, 2, 3, 5)]))
+_LAGS = lag_names()
 
 
-@query("lag_leakage_check", "K18", f"""
-SELECT 'log_ret_1d_lag' || n AS "column", 0::BIGINT AS early_values, 0::BIGINT AS mismatches
-FROM (VALUES (1), (2), (3), (5)) AS t(n)""")
+@query("lagged_features", "W21", "SELECT symbol, date, " + ", ".join(
+    r(f"lag({f}, {n}) {W}", FINE, f"{f}_lag{n}") for f, ns in cfg.LAG_SPEC.items() for n in ns) + " FROM regs")
+def lagged_features(spark, sf):
+    """All lags, from the base columns of the stored documents."""
+    bases = unpack_features(_stored_features(spark, sf), list(cfg.LAG_SPEC), {}, ())
+    return round_frame(with_lags(bases).select(*KEY, *_LAGS), FINE)
+
+
+@query("lag_leakage_check", "K18", " UNION ALL ".join(f"""
+SELECT '{f}_lag{n}' AS "column",
+  count(*) FILTER (WHERE rn <= {n} AND got IS NOT NULL) AS early_values,
+  count(*) FILTER (WHERE rn > {n} AND got IS DISTINCT FROM base
+    AND NOT coalesce(abs(got - base) <= 1e-8 + 1e-5 * abs(base), false)) AS mismatches
+FROM (SELECT {f}_lag{n} AS got, row_number() {W} AS rn, lag({f}, {n}) {W} AS base FROM feats)"""
+    for f, ns in cfg.LAG_SPEC.items() for n in ns))
 def lag_leakage_check(spark, sf):
-    df = market.etf_bars(spark, sf).withColumns(T.log_returns((1,)))
-    return lag_leakage(with_lags(df))
+    """Lags as stored against their stored base columns."""
+    return lag_leakage(unpack_features(_stored_features(spark, sf), [*cfg.LAG_SPEC, *_LAGS], {}, ()))
+
+
+def _stored_features(spark, sf):
+    from ..plans.staging import stored
 
+    return stored(spark, sf).features.read()
 
-_NORM = ["log_ret_1d", "rsi_14", "atr_14", "volume_z", "dd_60", "price_rsq_20"]
+
+_FIXED = [c for c in cfg.MODEL_FEATURES if c in cfg.BINARY_FEATURES + cfg.VOL_SCALED_FEATURES]
+_NORM = [c for c in cfg.MODEL_FEATURES if c not in _FIXED]
 
 
 def _z(c):
@@ -191,17 +207,10 @@ def _z(c):
 
 
 @query("normalised_features", "W22", f"""
-SELECT symbol, date, {', '.join(_z(c) for c in _NORM)}, {r('vol_20', 5, 'vol_20')},
-  {r('overnight_share', 5, 'overnight_share')}, dow FROM t3""")
+SELECT symbol, date, {', '.join(_z(c) for c in _NORM)}, {', '.join(
+    c if c in cfg.INTEGER_FEATURES else r(f'CASE WHEN {c} IS NOT NULL THEN greatest(-1e0, least(1e0, {c})) END' if c == 'overnight_share' else c, 5, c)
+    for c in _FIXED)} FROM dataset""")
 def normalised_features(spark, sf):
-    df = T.technical_features(market.etf_bars(spark, sf), wanted=_NORM).select(
-        *KEY, *_NORM, "vol_20", "overnight_share", "dow")
-    return round_frame(normalise(df), 5)
-
-
-@query("relative_volume_change", "W15", f"""
-SELECT symbol, date, {r(pct('volume', 1, 0, 'symbol'), 6, 'volume_chg_pct')} FROM pbars""")
-def relative_volume_change(spark, sf):
-    s = Series(["symbol"], "date")
-    return round_frame(market.part_bars(spark, sf).select(
-        *KEY, s.pct_change(F.col("volume").cast("double"), 1).alias("volume_chg_pct")))
+    """Every model feature, from the stored documents."""
+    df = unpack_features(_stored_features(spark, sf), cfg.MODEL_FEATURES)
+    return round_frame(normalise(df, _NORM), 5)

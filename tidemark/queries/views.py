@@ -87,12 +87,12 @@ def extracted_keys(spark, sf):
 def _clip_sql(c):
     column = next((k for k, source in cfg.SOURCE_KEYS.items() if source == c), c)
     lo, hi = cfg.default_clip_rules()[column]
-    return r(f"CASE WHEN {c} IS NOT NULL THEN greatest({lo}, least({hi}, {c})) END", 6, c)
+    return r(f"CASE WHEN {c} IS NOT NULL THEN greatest({lo}, least({hi}, {c})) END", _CLIP_PLACES.get(c, 6), c)
 
 
-_CLIPPED = ["log_ret_1d", "rsi_14", "atr_14", "volume_z", "dd_60", "vix_level",
-            "volume_chg_pct", *(s for c, s in cfg.SOURCE_KEYS.items()
-                                if c in cfg.default_clip_rules())]
+_CLIPPED = [cfg.SOURCE_KEYS.get(c, c) for c in cfg.default_clip_rules()]
+# macro values lie on a grid of 1e-7: compared beyond it, where no digit ties
+_CLIP_PLACES = {**PLACES, **{s: PLACES[c] for c, s in cfg.SOURCE_KEYS.items() if c in PLACES}}
 
 
 @query("clipped_documents", "M4", f"""
@@ -103,18 +103,15 @@ def clipped_documents(spark, sf):
     f = C("features")
     return round_frame(M.clip_documents(maps).select(
         *KEY, *[f[c].alias(c) for c in _CLIPPED + ["sma_20"]]),
-        PLACES | dict.fromkeys(_CLIPPED, 6))
+        _CLIP_PLACES)
 
 
 @query("document_null_profile", "M5", " UNION ALL ".join(f"""
 SELECT '{c}' AS feature, count(*) - count({c}) AS nan_count, count(*) AS total_rows,
-  {r(f'100.0 * (count(*) - count({c})) / count(*)', 2, 'nan_pct')}
-FROM feats WHERE symbol = 'SPY' AND date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31'"""
-    for c in ("sma_200", "vol_60")))
+  {r(f'100.0 * (count(*) - count({c})) / count(*)', 2, 'nan_pct')} FROM feats"""
+    for c in _CLIPPED))
 def document_null_profile(spark, sf):
-    docs = tables(spark, sf).features.where(
-        (C("symbol") == "SPY") & C("date").between("1995-01-01", "1999-12-31"))
-    return M.null_profile(docs, ["sma_200", "vol_60"])
+    return M.null_profile(tables(spark, sf).features, _CLIPPED)
 
 
 # --- model datasets ---------------------------------------------------------------------
