@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-STORED_EVERY = 25
+STORED_EVERY = 10
 #: Least curvature of a row.
 FLAT = 1e-16
 
@@ -284,21 +284,22 @@ def histograms(rows: DataFrame, targets: list[tuple[str, list[int]]],
                shape: tuple[int, int]) -> list[dict[int, np.ndarray]]:
     """Sums by feature and bin of the wanted nodes, for each class in one aggregation.
 
-    ``targets`` has for each class its SQL of a row's node and the wanted nodes.
+    ``targets`` has for each class its SQL of a row's node and the wanted nodes.  One
+    statement per round: building it step by step would cost as much as running it.
     """
-    nodes, entries = {}, []
-    for k, (node, wanted) in enumerate(targets):
-        if wanted:
-            nodes[f"_n{k}"] = F.expr(node)
-            entries.append(f"struct({k} AS k, IF(array_contains({numbers(wanted)}, _n{k}), _n{k}, -1) AS node,"
-                           f" g{k} AS g, h{k} AS h)")
     out: list[dict[int, np.ndarray]] = [{n: np.zeros((*shape, 3), np.int64) for n in wanted} for _, wanted in targets]
-    if not entries:
+    asked = [k for k, (_, wanted) in enumerate(targets) if wanted]
+    if not asked:
         return out
-    measured = (rows.where("sampled").withColumns(nodes).select("bins", F.inline(F.expr(f"array({', '.join(entries)})"))).where("node >= 0")
-                .select("k", "node", "g", "h", F.posexplode("bins").alias("f", "b"))
-                .groupBy("k", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"),
-                                                    F.count("*").alias("n"))).toArrow()
+    nodes = ", ".join(f"{targets[k][0]} AS _n{k}" for k in asked)
+    entries = ", ".join(f"struct({k} AS k, IF(array_contains({numbers(targets[k][1])}, _n{k}), _n{k}, -1) AS node,"
+                        f" g{k} AS g, h{k} AS h)" for k in asked)
+    measured = rows.sparkSession.sql(f"""
+        SELECT k, node, f, b, sum(g) AS g, sum(h) AS h, count(*) AS n
+        FROM (SELECT k, node, g, h, posexplode(bins) AS (f, b)
+              FROM (SELECT bins, inline(array({entries})) FROM (SELECT *, {nodes} FROM {{rows}} WHERE sampled))
+              WHERE node >= 0)
+        GROUP BY k, node, f, b""", rows=rows).toArrow()
     k, node, f, b, g, h, n = (measured[c].to_numpy() for c in ("k", "node", "f", "b", "g", "h", "n"))
     for i, found in enumerate(out):
         for number, sums in found.items():

@@ -17,6 +17,7 @@ from ..operators import evaluation as E
 from ..operators import models as MD
 from ..operators import preparation as P
 from ..operators import reports as R
+from ..sources.keyed import KeyedTable
 
 C = F.col
 # Models per horizon
@@ -57,9 +58,14 @@ def run_model(dataset: DataFrame, horizon: str, target: str, name: str,
 
 
 def run_registry(datasets: dict[str, DataFrame], registry=None, splits=None,
-                 overrides: dict[str, dict] | None = None) -> RunResult:
+                 overrides: dict[str, dict] | None = None,
+                 table: KeyedTable | None = None) -> RunResult:
     """All horizons and models; summary rows carry zero thresholds because
-    two-class decisions are not gated."""
+    two-class decisions are not gated.
+
+    With a ``table`` each model's predictions are merged into it as soon as they are
+    there, and the summary is made from what is read back.
+    """
     registry = registry or REGISTRY
     predictions, models = None, {}
     for horizon, (target, names) in registry.items():
@@ -67,7 +73,12 @@ def run_registry(datasets: dict[str, DataFrame], registry=None, splits=None,
             rows, model = run_model(datasets[horizon], horizon, target, name, splits,
                                     **(overrides or {}).get(name, {}))
             models[horizon, name] = model
-            predictions = rows if predictions is None else predictions.unionByName(rows)
+            if table is not None:
+                table.merge(rows)
+            else:
+                predictions = rows if predictions is None else predictions.unionByName(rows)
+    if table is not None:
+        predictions = table.read()
     metrics = E.gate_metrics(E.confusion_counts(predictions, BY), BY)
     return RunResult(predictions, R.summary_by_horizon(metrics), models)
 
