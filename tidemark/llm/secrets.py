@@ -17,9 +17,10 @@ import hashlib
 import math
 import re
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, partial
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,11 +51,14 @@ PAIRS = "pair string, n long"
 SPANS = "doc_id long, kinds array<string>, starts array<int>, ends array<int>, scores array<double>"
 
 
+#: The symbol of each ASCII character: digit, hex letter or other letter of either case; signs stand for themselves.
+SYMBOLS = {i: "0" if c.isdigit() else "a" if c in "abcdef" else "z" if c.islower()
+           else "A" if c in "ABCDEF" else "Z" if c.isupper() else c for i, c in enumerate(map(chr, range(128)))}
+
+
 def spelled(text: str) -> str:
-    """One symbol per character: digit, hex letter, other letter, either case, or the sign itself."""
-    return "".join(
-        "0" if c.isdigit() else "a" if c in "abcdef" else "z" if c.islower()
-        else "A" if c in "ABCDEF" else "Z" if c.isupper() else c for c in text)
+    """One symbol per character; credentials and candidates are ASCII."""
+    return text.translate(SYMBOLS)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -199,11 +203,34 @@ class Formats:
                     for x, y in zip("^" + s, s + "$"))
         return (self.automata[kind].likelihood(s) - plain) / (len(s) + 1)
 
-    def best(self, word: str) -> float | None:
-        """The highest score if it reaches its kind's threshold, else null."""
-        scores = [(self.score(k, word), k) for k in self.automata]
-        reached = [x for x, k in scores if x >= self.thresholds[k]]
-        return max(reached, default=None)
+    def judge(self) -> Callable[[str], float | None]:
+        """The highest score of a spelled word if it reaches its kind's threshold, else null.
+
+        All logarithms are taken here, once for each pair and each state's symbol.
+        """
+        symbols = sorted({*SYMBOLS.values(), "$"})
+        plain = {x + y: math.log((self.background[x + y] + 0.5) / (self.background[x] + 12))
+                 for x in ["^", *symbols] for y in symbols}
+        kinds = []
+        for kind, a in self.automata.items():
+            steps = [{c: (math.log((a.count[q][c] + 0.01) / (a.total(q) + 0.2)), a.follow[q].get(c, q))
+                      for c in symbols} for q in range(len(a.follow))]
+            ends = [math.log((a.ends[q] + 0.01) / (a.total(q) + 0.2)) for q in range(len(a.follow))]
+            kinds.append((steps, ends, self.thresholds[kind]))
+
+        def best(word: str) -> float | None:
+            ordinary, n, top = sum(map(plain.__getitem__, map(add, "^" + word, word + "$"))), len(word) + 1, None
+            for steps, ends, threshold in kinds:
+                q, out = 0, 0.0
+                for c in word:
+                    share, q = steps[q][c]
+                    out += share
+                score = (out + ends[q] - ordinary) / n
+                if score >= threshold and (top is None or score > top):
+                    top = score
+            return top
+
+        return best
 
 
 def symbol_pairs(word: str) -> Iterator[str]:
@@ -246,13 +273,14 @@ def learnt(labelled: dict[str, list[str]], pairs: dict[str, int]) -> Formats:
 
 
 def _judge(formats: Formats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    best = lru_cache(200_000)(formats.best)
+    # many words are spelled alike
+    best = lru_cache(400_000)(formats.judge())
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             spans = [(a, b, k, 1.0) for a, b, k in zip(r["starts"], r["ends"], r["kinds"])]
             for at, word in zip(r["candidate_starts"], r["candidates"]):
-                score = best(word)
+                score = best(spelled(word))
                 if score is not None:
                     spans.append((at, at + len(word), "format", score))
             spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
