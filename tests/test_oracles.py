@@ -16,6 +16,7 @@ check_null_pattern distribution_profile feature_manifest keyed_table_merge
 merged_columns cleared_table averages_over_gaps incremental_run incremental_labels
 incremental_macro incremental_events incremental_bars daily_run_outcomes
 recommendations three_class_boosting saved_model_equality lag_leakage_check lagged_features
+functions_on_labels functions_as_checks functions_on_documents
 check_feature_count check_label_shift classification_quality_report regression_quality_report""".split()
 
 

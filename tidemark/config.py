@@ -239,6 +239,24 @@ FEATURE_REGISTRY = [
     ("y_5d_vol", "target", "5d return / rolling_vol_20 (vol-scaled regression target)", 20),
 ]
 
+# --- Fixed values: categories and texts of the optimization summary ---------
+SUMMARY_FACTS = [
+    ("Primary Target", "y_1d_vol_clip",
+     "Volatility-scaled 1d return clipped to ±3σ"),
+    ("Secondary Target", "y_5d_vol_clip",
+     "Volatility-scaled 5d return clipped to ±3σ"),
+    ("Classification Target", "y_class_1d",
+     "Triple-barrier 1d class: 1 (Buy), 0 (Hold), -1 (Sell) using y_1d_vol ± 0.25"),
+    ("Features Kept", str(len(MODEL_FEATURES)),
+     "Non-redundant features in optimized datasets"),
+]
+SUMMARY_TEXTS = {
+    "Features Excluded": "Redundant features removed for collinearity reduction",
+    "Total Symbols": "ETFs in dataset",
+    "Date Range": "Coverage period",
+    "Classification Rows": "Total rows with valid y_class_1d target",
+}
+
 # --- Fixed values: thresholds ----------------------------------------------
 Y_THRESHOLD = 0.002          # legacy "meaningful move" label
 BARRIER = 0.25               # triple-barrier class, in units of volatility

@@ -156,19 +156,9 @@ def feature_manifest(registry: DataFrame, exclusions: DataFrame) -> DataFrame:
 def optimization_summary(t: Tables, exclusions: DataFrame) -> DataFrame:
     """(category, value, description): fixed facts, counts and coverage."""
     spark = t.bars.sparkSession
-    rows = [
-        ("Primary Target", "y_1d_vol_clip",
-         "Volatility-scaled 1d return clipped to ±3σ"),
-        ("Secondary Target", "y_5d_vol_clip",
-         "Volatility-scaled 5d return clipped to ±3σ"),
-        ("Classification Target", "y_class_1d",
-         "Triple-barrier 1d class: 1 (Buy), 0 (Hold), -1 (Sell) using y_1d_vol ± 0.25"),
-        ("Features Kept", str(len(cfg.MODEL_FEATURES)),
-         "Non-redundant features in optimized datasets"),
-    ]
     from ..sources.local import local_frame
 
-    fixed = local_frame(spark, rows, "category string, value string, description string")
+    fixed = local_frame(spark, cfg.SUMMARY_FACTS, "category string, value string, description string")
 
     def line(df, category, value, text):
         return df.select(F.lit(category).alias("category"),
@@ -181,16 +171,16 @@ def optimization_summary(t: Tables, exclusions: DataFrame) -> DataFrame:
     return (fixed
             .unionByName(line(exclusions.agg(F.count("*").alias("n")),
                               "Features Excluded", C("n"),
-                              "Redundant features removed for collinearity reduction"))
+                              cfg.SUMMARY_TEXTS["Features Excluded"]))
             .unionByName(line(t.etf_assets.agg(
                 F.countDistinct("symbol").alias("n")), "Total Symbols", C("n"),
-                "ETFs in dataset"))
+                cfg.SUMMARY_TEXTS["Total Symbols"]))
             .unionByName(line(span, "Date Range", F.format_string(
                 "%s to %s", C("a").cast("string"), C("b").cast("string")),
-                "Coverage period"))
+                cfg.SUMMARY_TEXTS["Date Range"]))
             .unionByName(line(classed.agg(F.count("*").alias("n")),
                               "Classification Rows", C("n"),
-                              "Total rows with valid y_class_1d target")))
+                              cfg.SUMMARY_TEXTS["Classification Rows"])))
 
 
 # --- readable views ------------------------------------------------------------

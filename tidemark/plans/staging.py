@@ -16,7 +16,7 @@ from ..sources import market
 from ..sources.keyed import stage
 from .etl import Feeds, Store, run_etl
 
-_STORES: dict[tuple[str, str], str] = {}
+_STORES: dict[tuple, str] = {}
 
 
 def feeds(spark: SparkSession, sf_dir: str) -> Feeds:
@@ -35,8 +35,19 @@ def build_store(spark: SparkSession, sf_dir: str) -> Store:
     return store
 
 
+def listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and time of each input file the store is built from."""
+    out = []
+    for name in ("lineitem", "orders"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        out += sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+    return tuple(out)
+
+
 def stored(spark: SparkSession, sf_dir: str) -> Store:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Built anew where the input's files have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, listing(spark, sf_dir))
     if key not in _STORES or not Store(spark, _STORES[key]).labels.exists():
         _STORES[key] = build_store(spark, sf_dir).root
     return Store(spark, _STORES[key])

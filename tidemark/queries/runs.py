@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -222,8 +222,9 @@ def daily_run_outcomes(spark, sf):
     A weekend run does nothing; a forced one and one without model leave
     placeholders; one with a model leaves that model's predictions.
     """
-    saturday, weekday = date(2001, 12, 29), date(2001, 12, 31)
     source = feeds(spark, sf)
+    weekday = source.calendar.agg(F.max("date")).first()[0]
+    saturday = weekday + timedelta(days=5 - weekday.weekday())
     shared = _incremental(spark, sf)
     latest = shared.features.read().groupBy("symbol").agg(F.max("date").alias("date"))
 

@@ -9,6 +9,7 @@ from ..functions.scalars import round_frame, to_int
 from ..operators import datasets as V
 from ..operators import feature_store as M
 from ..operators.normalization import annotate_registry
+from ..operators.sql_functions import register_functions
 from ..plans.feature_build import build_features
 from ..plans.staging import stored
 from ..sources import market
@@ -332,3 +333,53 @@ def feature_manifest(spark, sf):
         F.struct(F.lit("y_1d_vol").alias("feature_name"), C("a").alias("observed")),
         F.struct(F.lit("y_5d_vol").alias("feature_name"), C("b").alias("observed")))))
     return manifest.join(seen.unionByName(goals), "feature_name", "left")
+
+
+# --- functions of the session -----------------------------------------------------------
+def _with_functions(spark, sf):
+    """The session's functions over the stored labels and documents."""
+    t = tables(spark, sf)
+    t.labels.createOrReplaceTempView("labels_daily")
+    t.features.createOrReplaceTempView("features_daily")
+    register_functions(spark)
+    return spark
+
+
+@query("functions_on_labels", "P14 P6 P7", f"""
+SELECT symbol, date, {r('CASE WHEN vol_20 > 0 THEN y_1d_raw / vol_20 END', 6, 'scaled')},
+  {r('CASE WHEN y_1d_vol IS NOT NULL THEN greatest(-3e0, least(3e0, y_1d_vol)) END', 6, 'bounded')},
+  CASE WHEN y_1d_raw > 0 THEN 1 WHEN y_1d_raw <= 0 THEN -1 END AS direction, b.y_class_1d AS barrier
+FROM lab JOIN (SELECT symbol, date, y_class_1d FROM lab3) b USING (symbol, date)
+JOIN (SELECT symbol, date, vol_20 FROM feats) f USING (symbol, date)""")
+def functions_on_labels(spark, sf):
+    """Scalar functions called by SQL over the stored tables."""
+    return round_frame(_with_functions(spark, sf).sql("""
+        SELECT symbol, date, scaled_by_volatility(y_1d_raw, document_value(feature_json, 'vol_20')) AS scaled,
+          clipped(y_1d_vol, -3, 3) AS bounded, direction_class(y_1d_raw) AS direction, barrier_class(y_1d_vol) AS barrier
+        FROM labels_daily JOIN features_daily USING (symbol, date)"""))
+
+
+@query("functions_as_checks", "K1 K7 K8", f"""
+SELECT 'duplicates:labels' AS check_name, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
+  n || ' duplicate (symbol, date) pairs' AS details
+FROM (SELECT count(*) AS n FROM (SELECT symbol, date FROM lab GROUP BY ALL HAVING count(*) > 1))
+UNION ALL SELECT 'no_null_targets', CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END,
+  n || ' rows with NULL primary_target of ' || total || ' after warm-up'
+FROM (SELECT count(*) - count(primary_target) AS n, count(*) AS total FROM lab
+      WHERE date > (SELECT min(date) FROM lab) + {cfg.WARMUP_DAYS})
+UNION ALL SELECT 'valid_class_values', CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END,
+  n || ' rows with invalid class values'
+FROM (SELECT count(*) FILTER (WHERE y_class_1d NOT IN (-1, 0, 1)) AS n FROM lab3)""")
+def functions_as_checks(spark, sf):
+    """Table functions called by SQL."""
+    return _with_functions(spark, sf).sql(f"""
+        SELECT * FROM duplicate_label_keys() UNION ALL SELECT * FROM missing_targets({cfg.WARMUP_DAYS})
+        UNION ALL SELECT * FROM invalid_classes()""")
+
+
+@query("functions_on_documents", "M5 M3", " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, count(*) - count({c}) AS nan_count, count(*) AS total_rows FROM feats"""
+    for c in ("sma_200", "vol_60")))
+def functions_on_documents(spark, sf):
+    return _with_functions(spark, sf).sql(
+        "SELECT * FROM feature_nulls('sma_200') UNION ALL SELECT * FROM feature_nulls('vol_60')")

@@ -129,18 +129,13 @@ class KeyedTable:
         """
         if newest:
             new = newest_per_key(new, self.keys, newest)
-        if not self.exists():
-            self._write(new)
-            if not newest:
-                try:
-                    reject_repeated_keys(self.read(), self.keys)
-                except ValueError:
-                    self.clear()
-                    raise
-            return
         with staged(self.spark, new, "batch") as batch:
+            # checked before anything of it can be read
             if not newest:
                 reject_repeated_keys(batch, self.keys)
+            if not self.exists():
+                self._write(batch)
+                return
             years = [row.y for row in batch.select(
                 F.year(self.date_column).alias("y")).distinct().collect()]
             if not years:
