@@ -299,6 +299,21 @@ def test_license_scan(spark):
     assert licenses.license_summary(documents(spark, [])).count() == 0
 
 
+def test_license_notices_are_told_apart(spark):
+    texts = {"licensed under the GNU General Public License, version 3": "gpl",
+             "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3",
+             "This work is licensed under the GNU General Public License, version 2.": "gpl",
+             "licensed under the GNU Affero General Public License": "agpl",
+             "released under the Apache License": "apache",
+             "released under the MIT License": "mit,mit-release",
+             "the license was released under protest": "",
+             "Licensed under the Apache License, Version 2.0": "apache,apache-2"}
+    got = {r.doc_id: r for r in licenses.license_summary(documents(spark, list(texts), 0)).collect()}
+    for i, (text, labels) in enumerate(texts.items()):
+        assert got[i].labels == labels, text
+    assert got[6].score == 0
+
+
 # --- urls --------------------------------------------------------------------------------------------
 def test_url_rules(spark):
     pages = [None, "", "no scheme", "http://", "http://Example.COM", "https://a.example.com/en/x?y#z", "x://net/es/",

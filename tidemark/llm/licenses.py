@@ -7,8 +7,8 @@ that qualifies holds one of the template's first n - k + 1 words: only
 these are looked up (prefix filter), only blocks of at least k template words are
 compared (length filter), and the places of the first shared word in both orders
 bound how many can follow (positional filter).  What remains is verified on full
-sets.  Base phrases are templates of share 1 whose words must also stand
-consecutively.  Everything is DataFrame expressions.
+sets, and a notice's distinguishing words must be among the block's.  Base phrases
+are templates of share 1 whose words must also stand consecutively.  Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -22,17 +22,22 @@ from tidemark.llm.base import PLAIN_WORD, ascii_lower, stored
 
 #: Words between the starts of two blocks, and words of a block.
 STEP, BLOCK = 48, 96
-#: Share of a notice's distinct words that a block must hold, in percent.
-CONTAINED = 80
+#: Share of a notice's distinct words that a block must hold, in percent; of a notice with
+#: fewer than ``SHORT`` distinct words it must hold all.
+CONTAINED, SHORT = 80, 12
 
 
 @dataclass(frozen=True)
 class Template:
-    """A phrase must stand word by word; a notice only be contained."""
+    """A phrase must stand word by word; a notice only be contained.
+
+    ``required`` words tell a notice from others of nearly the same words.
+    """
 
     label: str
     text: str
     phrase: bool = False
+    required: str = ""
 
 
 #: License phrases and notices (fixed values).
@@ -41,31 +46,39 @@ TEMPLATES = (
     Template("apache", "apache license", True),
     Template("cc-by", "cc by", True),
     Template("mit", "mit license", True),
-    Template("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    Template("gpl-3", "this work is licensed under the gnu general public license version 3",
+             required="gnu 3"),
     Template("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms"
-                           " of the gnu general public license as published by the free software foundation"),
-    Template("lgpl", "this library is free software licensed under the gnu lesser general public license"),
-    Template("agpl", "licensed under the gnu affero general public license"),
-    Template("apache-2", "licensed under the apache license version 2 0"),
+                           " of the gnu general public license as published by the free software foundation",
+             required="gnu"),
+    Template("lgpl", "this library is free software licensed under the gnu lesser general public license",
+             required="lesser"),
+    Template("agpl", "licensed under the gnu affero general public license", required="affero"),
+    Template("apache-2", "licensed under the apache license version 2 0", required="apache 2"),
     Template("apache-notice", "licensed under the apache license version 2 0 you may not use this file except in"
-                              " compliance with the license"),
+                              " compliance with the license",
+             required="apache 2"),
     Template("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this"
                            " software and associated documentation files"),
-    Template("mit-release", "released under the mit license"),
+    Template("mit-release", "released under the mit license", required="mit"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    Template("cc-by-nc", "cc by nc"),
-    Template("cc-by-sa", "cc by sa"),
-    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    Template("cc-by-nc", "cc by nc", required="nc"),
+    Template("cc-by-sa", "cc by sa", required="sa"),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0",
+             required="mozilla"),
     Template("all-rights", "all rights reserved no part of this publication may be reproduced"),
 )
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    rows = ", ".join(f"({i}, '{t.label}', {str(t.phrase).lower()}, '{t.text}')" for i, t in enumerate(templates))
-    return (spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, label, phrase, text)")
-            .select("template", "label", "phrase", F.split("text", " ").alias("seq"))
+    rows = ", ".join(f"({i}, '{t.label}', {str(t.phrase).lower()}, '{t.text}', '{t.required}')"
+                     for i, t in enumerate(templates))
+    return (spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, label, phrase, text, required)")
+            .select("template", "label", "phrase", F.split("text", " ").alias("seq"),
+                    F.when(F.col("required") == "", F.array().cast("array<string>"))
+                    .otherwise(F.split("required", " ")).alias("required"))
             .withColumn("set", F.array_distinct("seq"))
-            .withColumn("need", F.when(F.col("phrase"), F.size("set"))
+            .withColumn("need", F.when(F.col("phrase") | (F.size("set") < SHORT), F.size("set"))
                         .otherwise(F.ceil(F.size("set") * F.lit(CONTAINED) / 100)).cast("int")))
 
 
@@ -101,8 +114,9 @@ def license_matches(docs: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, Da
     # template words as ranks, all others dropped: they add to no overlap
     table = template_table(spark, templates)
     ranks = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
-    ordered = table.withColumn("set", F.array_sort(F.transform("set", lambda w: F.element_at(ranks, w))))
-    prefix = ordered.select("template", "label", "phrase", "seq", "set", "need", F.posexplode(
+    ordered = table.withColumns({c: F.array_sort(F.transform(c, lambda w: F.element_at(ranks, w)))
+                                 for c in ("set", "required")})
+    prefix = ordered.select("template", "label", "phrase", "seq", "set", "required", "need", F.posexplode(
         F.expr("slice(set, 1, size(set) - need + 1)")).alias("t_at", "rank"))
     prefix_words = {w for w, r in rank.items()
                     if r in {x["rank"] for x in prefix.select("rank").distinct().collect()}}
@@ -129,7 +143,8 @@ def license_matches(docs: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, Da
              .where("least(size(held) - b_at, size(set) - t_at) >= need")
              .dropDuplicates(["row_key", "first", "template"])
              .withColumn("shared", F.size(F.array_intersect("held", "set")))
-             .where("shared >= need"))
+             .where("shared >= need")
+             .where(F.size(F.array_except("required", "held")) == 0))
     stands = F.expr(f"""filter(sequence(0, least({STEP}, size(block)) - 1),
         i -> slice(block, i + 1, size(seq)) = seq)""")
     phrases = (found.where("phrase").select("row_key", "label", "phrase", F.explode(stands).alias("i"), "first")

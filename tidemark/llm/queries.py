@@ -87,9 +87,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_sql() -> str:
-    rows = ", ".join(f"('{t.label}', {t.phrase}, string_split('{t.text}', ' '))" for t in licenses.TEMPLATES)
+    rows = ", ".join(f"('{t.label}', {t.phrase}, string_split('{t.text}', ' '), "
+                     f"list_filter(string_split('{t.required}', ' '), lambda w: w <> ''))" for t in licenses.TEMPLATES)
     return rf"""
-WITH t AS (SELECT label, phrase, seq, list_distinct(seq) AS s FROM (VALUES {rows}) AS v(label, phrase, seq)),
+WITH t AS (SELECT label, phrase, seq, required, list_distinct(seq) AS s
+           FROM (VALUES {rows}) AS v(label, phrase, seq, required)),
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -98,7 +100,9 @@ p AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i +
 b AS (SELECT doc_id, w[f + 1:f + {licenses.BLOCK}] AS b FROM (
         SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), {licenses.STEP})) AS f FROM w)),
 c AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), s)) / len(s) AS share,
-             len(list_intersect(list_distinct(b), s)) * 100 >= len(s) * {licenses.CONTAINED} AS fits
+             len(list_intersect(list_distinct(b), s)) * 100
+               >= len(s) * CASE WHEN len(s) < {licenses.SHORT} THEN 100 ELSE {licenses.CONTAINED} END
+             AND list_has_all(b, required) AS fits
       FROM b JOIN t ON NOT phrase),
 m AS (SELECT doc_id, label, 1.0::DOUBLE AS share, pos FROM p UNION ALL
       SELECT doc_id, label, share, NULL FROM c WHERE fits),
