@@ -23,6 +23,8 @@ from tidemark.llm.base import SPACED_WORD, ready, stored
 
 #: Documents of a bucket, about; buckets whose residuals meet at each level.
 BUCKET, FAN_IN = 20_000, 256
+#: Sources whose targets may be broadcast.
+FEW = 100_000
 #: Copies of a document at most.
 MOST = 3
 ROUNDED = "doc_id long, source string, size long, copies long, p double, bucket long, seed long"
@@ -109,12 +111,14 @@ def mixed_copies(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: in
         F.col("doc_id").cast("long").alias("doc_id"), "source",
         F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     targets = stored(source_targets(sizes, weights, most), "targets")
+    # a row per source: else a source with a third of all rows would meet its target in one task
+    few = F.broadcast if targets.count() <= FEW else (lambda df: df)
     counts = sizes.where("size > 0").groupBy("source").agg(F.count("*").alias("rows"))
     per_source = (targets.withColumnRenamed("source", "s")
                   .join(counts, F.col("s").eqNullSafe(F.col("source")), "left")
                   .select("s", "source_size", "target", F.coalesce("rows", F.lit(0)).alias("rows")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rated = (sizes.join(per_source, F.col("source").eqNullSafe(F.col("s")))
+    rated = (sizes.join(few(per_source), F.col("source").eqNullSafe(F.col("s")))
              .withColumn("rate", F.least(rate, F.lit(float(most))))
              .withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("rate") + 1e-12)).otherwise(0))
              .withColumn("p", F.when(F.col("size") > 0, F.greatest(F.col("rate") - F.col("copies"), F.lit(0.0)))
@@ -138,7 +142,7 @@ def mixed_copies(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: in
     rows = settled[0]
     for more in settled[1:]:
         rows = rows.union(more)
-    return (rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    return (rows.join(few(targets.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
             .select("doc_id", "source", "size", "source_size", "target",
                     (F.col("copies") + F.col("p")).cast("long").alias("copies")))
 
