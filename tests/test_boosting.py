@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import boosting as B
+from tidemark.plans import training as TR
 
 FEATURES = ["a", "b", "c", "flat"]
 
@@ -136,6 +138,44 @@ def test_partitioning_changes_nothing(spark):
     assert one.trees == many.trees
 
 
+def test_few_rows_take_one_task_a_round(spark, monkeypatch):
+    parts, measure = [], B.histograms
+
+    def noted(rows, *rest):
+        parts.append(rows.rdd.getNumPartitions())
+        return measure(rows, *rest)
+
+    monkeypatch.setattr(B, "histograms", noted)
+    B.fit_boosted(frame(spark, rows()), FEATURES, "y", 2, None, B.BoostParams(trees=2, leaves=4))
+    assert set(parts) == {1}
+    monkeypatch.setattr(B, "TASK_ROWS", 50)
+    B.fit_boosted(frame(spark, rows()), FEATURES, "y", 2, None, B.BoostParams(trees=1, leaves=4))
+    assert parts[-1] > 1
+
+
+def test_models_are_fitted_side_by_side(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+
+    def fitted(dataset, horizon, target, name, splits, **_):
+        both.wait()
+        row = (horizon, name, "val", 1, 1 if name == "b" else -1)
+        return spark.createDataFrame([row], "horizon string, model_name string, split string, y_true int,"
+                                            " pred_class_final int"), name
+
+    monkeypatch.setattr(TR, "run_model", fitted)
+    run = TR.run_registry({"1d": spark.range(1)}, {"1d": ("y", ["a", "b"])})
+    assert run.models == {("1d", "a"): "a", ("1d", "b"): "b"}
+    assert sorted((r.model_name, r.pred_class_final) for r in run.predictions.collect()) == [("a", -1), ("b", 1)]
+
+
+def test_edges_are_the_quantiles_of_each_column(spark):
+    df = frame(spark, rows())
+    got = B.quantile_edges(df.withColumn("b", F.when(F.col("b") > 0, F.col("b"))), FEATURES, 4)
+    a = sorted(r[1] for r in rows())
+    assert got["a"] == sorted({a[len(a) * k // 4 - 1] for k in (1, 2, 3)} - {a[0]})
+    assert len(got["b"]) == 3 and min(got["b"]) > 0 and got["c"] == [1.0] and got["flat"] == []
+
+
 def test_softmax_and_saved_model(spark, tmp_path):
     data = rows(400, classes=3)
     df = frame(spark, data)

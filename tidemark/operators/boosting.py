@@ -30,8 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .preparation import long_form
 
 STORED_EVERY = 10
+#: Rows that are worth a task of their own; a round over fewer is one task without shuffle.
+TASK_ROWS = 10_000
 #: Least curvature of a row.
 FLAT = 1e-16
 
@@ -260,11 +263,10 @@ def _leaf(tree: Column, x: Column, steps: int) -> Column:
 def quantile_edges(df: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
     """Distinct inner quantiles of every feature, above its least value; one pass for all."""
     shares = [i / bins for i in range(1, bins)]
-    row = df.agg(*[x for i, c in enumerate(features) for x in (
-        F.percentile_approx(F.col(f"`{c}`").cast("double"), shares, 10_000).alias(f"q{i}"),
-        F.min(F.col(f"`{c}`").cast("double")).alias(f"m{i}"))]).first()
-    return {c: sorted({q for q in row[f"q{i}"] or [] if q > row[f"m{i}"] and math.isfinite(q)})
-            for i, c in enumerate(features)}
+    found = {r.f: r for r in long_form(df, features).groupBy("f").agg(
+        F.percentile_approx("v", shares, 10_000).alias("q"), F.min("v").alias("m")).collect()}
+    return {c: sorted({q for q in (found[i].q if i in found else None) or []
+                       if q > found[i].m and math.isfinite(q)}) for i, c in enumerate(features)}
 
 
 def binned(df: DataFrame, edges: dict[str, list[float]], *kept: Column) -> DataFrame:
@@ -357,6 +359,7 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, classes: int, we
     # sums of all rows stay below 2^62
     scale = 2.0 ** min(40, math.floor(62 - math.log2(max(rows_n, 1) * max(top, 1.0) * 2)))
     model = BoostedTrees(features, start, [[] for _ in range(trees)], asdict(params))
+    state = state.coalesce(max(1, math.ceil(rows_n / TASK_ROWS)))
     state = state.withColumns({f"m{k}": F.lit(start[k]) for k in range(trees)})
     draws = np.random.default_rng(params.seed)
     places = {c: i for i, c in enumerate(features)}
@@ -378,7 +381,7 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, classes: int, we
             model.trees[k].append({**t, "t": [edges[used[f]][b] if f >= 0 else 0.0 for f, b in zip(t["f"], t["b"])],
                                    "f": [places[used[f]] if f >= 0 else -1 for f in t["f"]]})
         if number % STORED_EVERY == STORED_EVERY - 1:
-            state = _stored(state, quick)
+            state = _stored(state, quick).coalesce(max(1, math.ceil(rows_n / TASK_ROWS)))
     if held is not None:
         held.unpersist()
     return model

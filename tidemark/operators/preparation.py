@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as cfg
@@ -61,6 +61,11 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in NOT_FEATURES]
 
 
+def long_form(df: DataFrame, names: list[str]) -> DataFrame:
+    """(f, v) for every value of the named columns; ``f`` is the place of the column among them."""
+    return df.select(F.posexplode(F.array(*[F.col(f"`{n}`").cast("double") for n in names])).alias("f", "v"))
+
+
 # --- exact medians -------------------------------------------------------------
 def exact_medians(df: DataFrame, names: list[str],
                   accuracy: int = 10000) -> dict[str, float | None]:
@@ -69,36 +74,33 @@ def exact_medians(df: DataFrame, names: list[str],
     An approximate pass brackets the middle ranks of every column.  A second
     pass counts the values below each bracket and groups those inside it, which
     is a sliver of the data, and the middle ranks are read off its running
-    counts.
+    counts.  Both take (column, value) rows: one aggregate over all columns side by
+    side is a plan whose compilation costs more than small tables do.
     """
     slack = 2.0 / accuracy
-    probe = df.agg(*[x for i, n in enumerate(names) for x in (
-        F.count(n).alias(f"n{i}"),
-        F.percentile_approx(n, [0.5 - slack, 0.5 + slack], accuracy).alias(f"b{i}"))
-    ]).first()
-    live = {i: n for i, n in enumerate(names) if probe[f"n{i}"]}
-    if not live:
+    values = long_form(df, names).where("v IS NOT NULL")
+    probe = {r.f: r for r in values.groupBy("f").agg(
+        F.count("v").alias("n"),
+        F.percentile_approx("v", [0.5 - slack, 0.5 + slack], accuracy).alias("b")).collect()}
+    if not probe:
         return {n: None for n in names}
-    lows = df.agg(*[F.sum((C(n) < probe[f"b{i}"][0]).cast("long")).alias(f"l{i}")
-                    for i, n in live.items()]).first()
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("f"), C(n).cast("double").alias("v"))
-        for i, n in live.items()])
-    # keep only values inside the bracket of their column
-    lo = F.create_map(*[x for i in live for x in (F.lit(i), F.lit(float(probe[f"b{i}"][0])))])
-    hi = F.create_map(*[x for i in live for x in (F.lit(i), F.lit(float(probe[f"b{i}"][1])))])
-    inside = (df.select(F.inline(entries))
-              .where(C("v").between(lo[C("f")], hi[C("f")]))
-              .groupBy("f", "v").agg(F.count("*").alias("n")))
+
+    def of(value) -> Column:
+        """A number of the row's own column."""
+        known = [F.lit(value(probe[i]) if i in probe else None) for i in range(len(names))]
+        return F.element_at(F.array(*known), C("f") + 1)
+
+    # values inside the bracket of their column one by one, those below it as one group
+    below = C("v") < of(lambda r: r.b[0])
+    inside = (values.where(C("v") <= of(lambda r: r.b[1]))
+              .groupBy("f", F.when(~below, C("v")).alias("v")).agg(F.count("*").alias("n")))
     from pyspark.sql import Window
 
-    run = Window.partitionBy("f").orderBy("v")
-    first = F.create_map(*[x for i in live for x in (F.lit(i), F.lit(lows[f"l{i}"] or 0))])
-    total = F.create_map(*[x for i in live for x in (F.lit(i), F.lit(probe[f"n{i}"]))])
-    ranked = (inside.withColumn("upto", F.sum("n").over(run) + first[C("f")])
-              .withColumn("from", C("upto") - C("n")))
-    left = F.floor((total[C("f")] - 1) / 2)
-    right = F.floor(total[C("f")] / 2)
+    run = Window.partitionBy("f").orderBy(C("v").asc_nulls_first())
+    ranked = inside.withColumn("upto", F.sum("n").over(run)).withColumn("from", C("upto") - C("n"))
+    total = of(lambda r: r.n)
+    left = F.floor((total - 1) / 2)
+    right = F.floor(total / 2)
     rows = ranked.groupBy("f").agg(
         F.max(F.when((C("from") <= left) & (left < C("upto")), C("v"))).alias("a"),
         F.max(F.when((C("from") <= right) & (right < C("upto")), C("v"))).alias("b")

@@ -7,6 +7,7 @@ and metric inside is a distributed job.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from ..operators import evaluation as E
 from ..operators import models as MD
 from ..operators import preparation as P
 from ..operators import reports as R
-from ..sources.keyed import KeyedTable
+from ..session import at_once
+from ..sources.keyed import KeyedTable, stage
 
 C = F.col
 # Models per horizon
@@ -27,6 +29,8 @@ REGISTRY = {
 }
 PROBS = {-1: "p_down", 1: "p_up"}
 BY = ["horizon", "model_name", "split"]
+#: Models fitted side by side; each holds its training rows while it is.
+PARALLEL = 6
 
 
 @dataclass
@@ -51,7 +55,8 @@ def run_model(dataset: DataFrame, horizon: str, target: str, name: str,
     features = P.feature_columns(dataset)
     model = MD.train(labelled.where("split = 'train'"), features, target, name,
                      **overrides)
-    scored = score_rows(model, labelled.where("split <> 'train'"), horizon)
+    # both curves and the decisions read the scores
+    scored = stage(dataset.sparkSession, score_rows(model, labelled.where("split <> 'train'"), horizon), "scored")
     curve = calibration.fit_calibrator(scored.where("split = 'val'"), PROBS)
     decided = D.gate_binary(D.prediction_features(curve.transform(scored)))
     return D.assemble_predictions(decided), model
@@ -63,20 +68,24 @@ def run_registry(datasets: dict[str, DataFrame], registry=None, splits=None,
     """All horizons and models; summary rows carry zero thresholds because
     two-class decisions are not gated.
 
-    With a ``table`` each model's predictions are merged into it as soon as they are
-    there, and the summary is made from what is read back.
+    Fits are made of many small jobs, so ``PARALLEL`` models are fitted side by side.
+    With a ``table`` their predictions are then merged into it, and the summary is made
+    from what is read back.
     """
     registry = registry or REGISTRY
+    entries = [(h, target, name) for h, (target, names) in registry.items() for name in names]
     predictions, models = None, {}
-    for horizon, (target, names) in registry.items():
-        for name in names:
-            rows, model = run_model(datasets[horizon], horizon, target, name, splits,
-                                    **(overrides or {}).get(name, {}))
+    for i in range(0, len(entries), PARALLEL):
+        fits = [partial(run_model, datasets[h], h, target, name, splits, **(overrides or {}).get(name, {}))
+                for h, target, name in entries[i:i + PARALLEL]]
+        done = at_once(next(iter(datasets.values())).sparkSession, *fits)
+        for (horizon, _, name), (_, model) in zip(entries[i:], done):
             models[horizon, name] = model
-            if table is not None:
-                table.merge(rows)
-            else:
-                predictions = rows if predictions is None else predictions.unionByName(rows)
+        rows = reduce(DataFrame.unionByName, [r for r, _ in done])
+        if table is not None:
+            table.merge(rows)
+        else:
+            predictions = rows if predictions is None else predictions.unionByName(rows)
     if table is not None:
         predictions = table.read()
     metrics = E.gate_metrics(E.confusion_counts(predictions, BY), BY)

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
+from pyspark.util import inheritable_thread_target
+
+T = TypeVar("T")
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 
@@ -47,6 +53,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_FALLBACK[app]
 
 
+def at_once(spark: SparkSession, *tasks: Callable[[], T]) -> list[T]:
+    """What each task returns, in order; independent jobs run side by side and fill the cluster together.
+
+    All tasks have ended when this returns or raises the first one's error.
+    """
+    with ThreadPoolExecutor(max(len(tasks), 1)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]
+    return [r.result() for r in running]
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
