@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -14,8 +14,10 @@ from tidemark import config as cfg
 from tidemark.functions.ema import with_ema
 from tidemark.functions.rolling import Series
 from tidemark.operators import targets as L
+from tidemark.plans import staging
 from tidemark.plans.etl import Feeds, Store, run_etl
 from tidemark.session import scratch_path
+from tidemark.sources import market as sources
 from tidemark.sources.local import local_frame
 
 BARS = ("symbol string, date date, open double, high double, low double, close double, adj_close double,"
@@ -119,6 +121,26 @@ def test_a_store_without_state_is_rebuilt(spark, runs):
     assert got[1] == want[1] and got[0] == pytest.approx(want[0])
 
 
+def test_feeds_read_the_tables_once(spark, tmp_path):
+    """Runs take their days from reduced rows, which are those that the tables give."""
+    at = lambda day: None if day is None else datetime(2020, 1, day)
+    lines = [(1, 1, 5.0, 100.0, "A", "F", at(6)), (1, 2, 3.0, 40.0, "R", "O", at(6)), (2, 1, 1.0, 7.0, "N", "F", at(7)),
+             (3, 1, 2.0, 8.0, "A", "O", at(11)), (4, 1, 2.0, 8.0, "X", "F", at(8)), (5, 7, None, None, None, "F", at(9)),
+             (6, 1, 2.0, 8.0, "A", "F", None), (1, 1, 5.0, 100.0, "A", "F", at(6))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double,"
+                          " l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "1-URGENT", "F", 10.0, at(6)), (2, "1-URGENT", "F", 20.0, at(6)), (3, "2-HIGH", "O", 1.0, at(7)),
+                           (4, "5-LOW", "P", 3.0, None)], "o_orderkey long, o_orderpriority string, o_orderstatus string,"
+                          " o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    got = staging.feeds(spark, str(tmp_path))
+    for df, want in ((got.bars, sources.daily_bars), (got.macro, sources.macro_raw),
+                     (got.calendar, sources.trading_calendar)):
+        assert not any("lineitem" in f or "orders" in f for f in df.inputFiles())
+        assert sorted(map(str, df.collect())) == sorted(map(str, want(spark, str(tmp_path)).collect()))
+    assert [r.date.day for r in got.calendar.orderBy("date").collect()] == [6, 7, 8, 9]
+
+
 # --- parts ------------------------------------------------------------------------------
 def test_moments_of_parts(spark):
     rng = np.random.default_rng(2)

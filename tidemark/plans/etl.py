@@ -33,6 +33,7 @@ from ..operators.macro import macro_daily
 from ..operators.targets import HORIZONS, build_labels
 from ..operators.technical import CARRIED, realized_vol_20
 from ..sources.files import date_range
+from ..session import at_once
 from ..sources.keyed import KeyedTable, staged
 from .feature_build import Inputs, build_features
 
@@ -286,19 +287,22 @@ def run_etl(spark: SparkSession, store: Store, feeds: Feeds, end: date,
     start, calendar = window.start, feeds.calendar
     renewed = renewed_from(store, feeds, window) if window.mode == "incremental" else start
 
-    store.bars.merge(date_range(feeds.bars, start, end))
-    seen = date_range(feeds.macro, renewed - timedelta(days=cfg.RENEWED_DAYS), end)
-    store.macro.merge(date_range(macro_daily(seen, calendar), renewed, end))
-
-    quarter = date(renewed.year, (renewed.month - 1) // 3 * 3 + 1, 1)
-    since = quarter if window.mode == "incremental" else start
-    if store.events.exists():
-        # the last day of a period that was open may not be its end any more
-        store.events.delete((F.col("date") >= F.lit(since))
-                            & F.col("event_type").isin(cfg.CALENDAR_EVENTS))
-    store.events.merge(full_events(spark, date_range(calendar, since, end),
-                                   since, end, feeds.event_shift_days))
-
+    def merge_macro() -> None:
+        seen = date_range(feeds.macro, renewed - timedelta(days=cfg.RENEWED_DAYS), end)
+        store.macro.merge(date_range(macro_daily(seen, calendar), renewed, end))
+
+    def merge_events() -> None:
+        quarter = date(renewed.year, (renewed.month - 1) // 3 * 3 + 1, 1)
+        since = quarter if window.mode == "incremental" else start
+        if store.events.exists():
+            # the last day of a period that was open may not be its end any more
+            store.events.delete((F.col("date") >= F.lit(since))
+                                & F.col("event_type").isin(cfg.CALENDAR_EVENTS))
+        store.events.merge(full_events(spark, date_range(calendar, since, end),
+                                       since, end, feeds.event_shift_days))
+
+    # what is derived needs all of it; the days count as done only with features and labels
+    at_once(spark, lambda: store.bars.merge(date_range(feeds.bars, start, end)), merge_macro, merge_events)
     _derive(spark, store, feeds, window, renewed)
     return window
 

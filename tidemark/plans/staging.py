@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as cfg
-from ..session import scratch_path
+from ..session import at_once, scratch_path
 from ..sources import market
 from ..sources.keyed import stage
 from .etl import Feeds, Store, run_etl
@@ -20,9 +20,10 @@ _STORES: dict[tuple, str] = {}
 
 
 def feeds(spark: SparkSession, sf_dir: str) -> Feeds:
-    calendar = stage(spark, market.trading_calendar(spark, sf_dir), "calendar")
-    return Feeds(bars=market.daily_bars(spark, sf_dir),
-                 macro=market.macro_raw(spark, sf_dir), calendar=calendar,
+    """Raw rows are reduced once, whatever the number of runs; the bars' days are the trading calendar."""
+    bars, macro = at_once(spark, lambda: stage(spark, market.daily_bars(spark, sf_dir), "feed-bars"),
+                          lambda: stage(spark, market.macro_raw(spark, sf_dir), "feed-macro"))
+    return Feeds(bars=bars, macro=macro, calendar=stage(spark, bars.select("date").distinct(), "calendar"),
                  event_shift_days=cfg.FIXTURE_EVENT_SHIFT_DAYS)
 
 
