@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -163,6 +164,26 @@ def test_disguised_words_are_restored(spark):
     assert reader.words(None) == set() == reader.words(" \n")
 
 
+def test_the_likeliest_reading_is_the_best_of_all_paths():
+    draw = np.random.default_rng(5)
+    model = np.log(draw.random(toxicity.BASE ** 3)).tolist()
+
+    def cost(path) -> float:
+        state, total = 0, 0.0
+        for _, paid, codes in path:
+            total += paid
+            for c in codes:
+                state = state * toxicity.BASE + c
+                total += model[state]
+                state %= toxicity.BASE ** 2
+        return total + model[state * toxicity.BASE]
+
+    for word in ("letter", "aabbcc", "1d!ot", "b00kk33p", "s.t-u", "x", "£££", "ab1", "plain"):
+        lattice = toxicity.readings(word)
+        best = max(itertools.product(*lattice), key=cost)
+        assert toxicity.likeliest(lattice, model) == "".join(out for out, _, _ in best), word
+
+
 def test_spaces_and_doubled_letters_are_in_the_lattice(spark):
     corpus = spark.read.parquet(f"{SF}/documents.parquet")
     extra = documents(spark, ["you are a stupid thing and I think that an idiot is such a loser " * 60])

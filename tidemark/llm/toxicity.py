@@ -16,7 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,10 @@ SUBSTITUTED, DROPPED, REPEATED = -2.5, -2.0, -1.5
 #: Two or more words of at most three characters in a row.
 SHORT_RUN = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?!\S)")
 DOUBLE = re.compile(r"(.)\1")
+#: What may be written at a place of a lattice: letters, cost, and the letters' symbols.
+Arc = tuple[str, float, tuple[int, ...]]
+#: Words, runs and evidence that a task remembers at most.
+REMEMBERED = 200_000
 
 #: Labelled rows that the classifier is fitted on at most: those whose ids hash lowest.
 SAMPLE = 20_000
@@ -107,52 +111,77 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(triple).astype(np.float32)
 
 
-def readings(word: str) -> list[list[tuple[str, float]]]:
+@lru_cache(maxsize=10_000)
+def arc(out: str, cost: float) -> Arc:
+    return out, cost, tuple(SYMBOL.get(c, OTHER) for c in out)
+
+
+@lru_cache(maxsize=10_000)
+def arcs_of(c: str, n: int, inside: bool) -> tuple[Arc, ...]:
+    """What ``n`` times one character may stand for, with other characters on both sides or not."""
+    arcs: list[Arc] = []
+    if c.isalpha():
+        arcs.append(arc(c if n == 1 else c * 2, 0.0 if n < 3 else REPEATED * (n - 2) ** 0.5))
+        if n > 1:
+            arcs.append(arc(c, REPEATED * (n - 1) ** 0.5))
+    for x in LOOKALIKES.get(c, ""):
+        arcs.append(arc(x, SUBSTITUTED))
+        if n > 1:
+            arcs.append(arc(x * 2, SUBSTITUTED))
+    if c in BETWEEN and inside or not arcs:
+        arcs.append(arc("", DROPPED))
+    return tuple(arcs)
+
+
+def readings(word: str) -> list[tuple[Arc, ...]]:
     """The lattice: per run of one character, what it may stand for and its cost."""
-    runs: list[list] = []
+    runs: list[tuple[str, int]] = []
+    last, n = word[:1], 0
     for c in word:
-        if runs and runs[-1][0] == c:
-            runs[-1][1] += 1
+        if c == last:
+            n += 1
         else:
-            runs.append([c, 1])
-    lattice = []
-    for i, (c, n) in enumerate(runs):
-        arcs: list[tuple[str, float]] = []
-        if c.isalpha():
-            arcs.append((c if n == 1 else c * 2, 0.0 if n < 3 else REPEATED * (n - 2) ** 0.5))
-            if n > 1:
-                arcs.append((c, REPEATED * (n - 1) ** 0.5))
-        for x in LOOKALIKES.get(c, ""):
-            arcs.append((x, SUBSTITUTED))
-            if n > 1:
-                arcs.append((x * 2, SUBSTITUTED))
-        if c in BETWEEN and 0 < i < len(runs) - 1 or not arcs:
-            arcs.append(("", DROPPED))
-        lattice.append(arcs)
-    return lattice
-
-
-def likeliest(lattice: list[list[tuple[str, float]]], model: list[float]) -> str:
-    """What the best path through a lattice writes, from border to border."""
-    states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+            runs.append((last, n))
+            last, n = c, 1
+    if n:
+        runs.append((last, n))
+    end = len(runs) - 1
+    return [arcs_of(c, n, 0 < i < end) for i, (c, n) in enumerate(runs)]
+
+
+def likeliest(lattice: list[tuple[Arc, ...]], model: list[float]) -> str:
+    """What the best path through a lattice writes, from border to border.
+
+    Places without choice, where one state is left, need no table of states.
+    """
+    states: dict[int, tuple[float, str]] = {}
+    x, s, path, alone = 0, 0.0, "", True
     for arcs in lattice:
-        new: dict[int, tuple[float, tuple]] = {}
-        for state, (score, path) in states.items():
-            for out, cost in arcs:
+        if alone and len(arcs) == 1:
+            out, cost, codes = arcs[0]
+            s += cost
+            for c in codes:
+                x = x * BASE + c
+                s += model[x]
+                x %= BASE * BASE
+            path += out
+            continue
+        new: dict[int, tuple[float, str]] = {}
+        for state, (score, before) in [(x, (s, path))] if alone else states.items():
+            for out, cost, codes in arcs:
                 x, s = state, score + cost
-                for c in out:
-                    x = x * BASE + SYMBOL.get(c, OTHER)
+                for c in codes:
+                    x = x * BASE + c
                     s += model[x]
                     x %= BASE * BASE
                 if x not in new or new[x][0] < s:
-                    new[x] = (s, (path, out))
-        states = new
-    path = max(((s + model[x * BASE], p) for x, (s, p) in states.items()), key=lambda t: t[0])[1]
-    letters = []
-    while path:
-        path, out = path
-        letters.append(out)
-    return "".join(reversed(letters))
+                    new[x] = (s, before + out)
+        states, alone = new, len(new) == 1
+        if alone:
+            (x, (s, path)), = new.items()
+    if alone:
+        return path
+    return max(((s + model[x * BASE], p) for x, (s, p) in states.items()), key=lambda t: t[0])[1]
 
 
 def decode(word: str, model: list[float]) -> str:
@@ -162,18 +191,18 @@ def decode(word: str, model: list[float]) -> str:
 
 def decode_run(words: list[str], model: list[float]) -> list[str]:
     """Likeliest words behind lower-case words in a row, whose spaces may be dropped."""
-    lattice: list[list[tuple[str, float]]] = []
+    lattice: list[tuple[Arc, ...]] = []
     for i, word in enumerate(words):
         if i:
-            lattice.append([(" ", 0.0), ("", DROPPED)])
-        core = trimmed(word)
+            lattice.append((arc(" ", 0.0), arc("", DROPPED)))
+        core = word if word.isalnum() else trimmed(word)
         if core:
             before, _, after = word.partition(core)
-            ends = [[[*[(x, SUBSTITUTED) for x in LOOKALIKES.get(c, "")], ("", 0.0)] for c in part]
+            ends = [[(*[arc(x, SUBSTITUTED) for x in LOOKALIKES.get(c, "")], arc("", 0.0)) for c in part]
                     for part in (before, after)]
             lattice += [*ends[0], *readings(core), *ends[1]]
         else:
-            lattice += [[*[a for a in arcs if a[0]], ("", DROPPED)] for arcs in readings(word)]
+            lattice += [(*[a for a in arcs if a[0]], arc("", DROPPED)) for arcs in readings(word)]
     return likeliest(lattice, model).split()
 
 
@@ -201,39 +230,36 @@ class Reader:
         self.flat = self.model.ravel().tolist()
 
     def restore(self, word: str) -> str:
-        if word.isalpha() and not DOUBLE.search(word):
-            return word
         if word in self.known:
             return self.known[word]
-        core = trimmed(word)
+        core = word if word.isalpha() else trimmed(word)
         if core.isalpha() and not DOUBLE.search(core):
             out = core
         elif not any(c.isalpha() or c in LOOKALIKES for c in core):
             out = ""
         else:
             out = decode(core, self.flat)
-        if len(self.known) > 200_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         self.known[word] = out
         return out
 
-    def joined(self, words: list[str]) -> list[str]:
-        run = " ".join(words)
+    def joined(self, run: str) -> list[str]:
         if run in self.runs:
             return self.runs[run]
-        out = decode_run(words, self.flat)
+        out = decode_run(run.split(), self.flat)
         if len(run) <= 40:
-            if len(self.runs) > 200_000:
+            if len(self.runs) > REMEMBERED:
                 self.runs.clear()
             self.runs[run] = out
         return out
 
     def words(self, text: str | None) -> set[str]:
         """Distinct restored words, also those that short words in a row stand for."""
-        low = (text or "").lower()
-        found = {self.restore(w) for w in set(low.split())}
-        for m in SHORT_RUN.finditer(low):
-            found.update(self.joined(m.group().split()))
+        low, known = (text or "").lower(), self.known
+        found = {known[w] if w in known else self.restore(w) for w in set(low.split())}
+        for run in SHORT_RUN.findall(low):
+            found.update(self.joined(run))
         found.discard("")
         return found
 
@@ -272,6 +298,7 @@ class Classifier:
     other: int
     curve: tuple[float, float] = (1.0, -4.0)
     weights: dict[str, float] = field(default_factory=dict)
+    seen: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
     def weight(self, t: int, n: int) -> float:
         share = (self.toxic + 1) / (self.toxic + self.other + 2)
@@ -285,21 +312,30 @@ class Classifier:
         """
         found = []
         for word in words:
-            if word[:SHORTEST] not in self.heads:
-                continue
-            best = 0.0
-            for f in beginnings(word):
-                if own is None:
-                    best = max(best, self.weights.get(f, 0.0))
-                elif c := self.counts.get(f):
-                    t, n = c[0] - (own == 1), c[1] - (own == 0)
-                    if t + n >= LEAST:
-                        best = max(best, self.weight(t, n))
+            best = self.seen.get(word) if own is None else None
+            if best is None:
+                best = self.evidence(word, own)
             if best > 1:
                 found.append((best, word))
         found.sort(reverse=True)
         return sum(x for x, _ in found[:3]), [w for _, w in found]
 
+    def evidence(self, word: str, own: int | None) -> float:
+        """That of a word's strongest feature; remembered for rows that are not among the counted ones."""
+        best = 0.0
+        for f in beginnings(word) if word[:SHORTEST] in self.heads else ():
+            if own is None:
+                best = max(best, self.weights.get(f, 0.0))
+            elif c := self.counts.get(f):
+                t, n = c[0] - (own == 1), c[1] - (own == 0)
+                if t + n >= LEAST:
+                    best = max(best, self.weight(t, n))
+        if own is None:
+            if len(self.seen) > REMEMBERED:
+                self.seen.clear()
+            self.seen[word] = best
+        return best
+
     def __post_init__(self) -> None:
         self.weights = {f: w for f, (t, n) in self.counts.items() if (w := self.weight(t, n)) > 1}
         self.heads = {f.rstrip("$")[:SHORTEST] for f in self.counts}
