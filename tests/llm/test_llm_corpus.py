@@ -146,6 +146,26 @@ def test_collocations_equal_brute_force(spark, support, shard):
     assert sorted(map(tuple, got)) == brute_phrases(rows, support, 5, 25)
 
 
+def test_many_shards_send_what_may_be_frequent_in_the_corpus(spark, monkeypatch):
+    """With a lowered support of one, phrases of infrequent parts are not sent."""
+    rows = [(i, " ".join(["of the sea", *(f"w{i}x{k}" for k in range(60))]), "en") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    words, sent, plain = 120 * 63, [], type(docs).mapInArrow
+
+    def counted(df, function, schema):
+        out = plain(df, function, schema)
+        if not schema.startswith("part"):  # the filter's own bits
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    found, totals = phrases.frequent_phrases(docs, support=50, shard=500)
+    assert {(r.phrase, r.words, r.f) for r in found.collect()} == {
+        ("of", 1, 120), ("the", 1, 120), ("sea", 1, 120), ("of the", 2, 120), ("the sea", 2, 120), ("of the sea", 3, 120)}
+    assert [tuple(r) for r in totals.collect()] == [("en", words)]
+    assert sum(sent) < 3 * words
+
+
 def test_collocations_of_nothing(spark):
     docs = mixed_languages(spark)
     assert phrases.collocations(docs.limit(0)).count() == 0

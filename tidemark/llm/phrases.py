@@ -15,8 +15,11 @@ counts are exact either way and the support alone decides.
 A shard is what a task reads, in parts of ``SHARD`` bytes at most: memory is bounded.
 A corpus has ``SHARDS`` of them at least, so that up to ``SHARD`` * ``SHARDS`` bytes
 the lowered support is the same at every size.  Beyond, it falls with the number of
-shards, to one at last; then the first pass prunes by the global bound alone, and
-only a support that grows with the corpus keeps it small.
+shards, to one at last, where a shard would have to send every phrase it has.  Below
+``LOWEST`` the first pass is therefore made in rounds of a few lengths each: a round
+counts all phrases of its lengths, and only those that reach the support in the whole
+corpus are extended in the next one.  What a round sends is then bounded by what is
+frequent in the corpus, not in a shard.
 """
 
 from __future__ import annotations
@@ -38,6 +41,10 @@ from tidemark.llm.syncmers import mixed
 SUPPORT, LONGEST, BEST = 100, 5, 2_000
 #: Bytes of text that are mined together at most, and shards of a corpus at least.
 SHARD, SHARDS = 20_000_000, 32
+#: Least lowered support that is mined in one round; below it, last lengths of the rounds before the last.
+LOWEST, ROUNDS = 3, (2, 3)
+#: Rows of a batch of counts.
+SENT = 1 << 17
 #: Bits of the largest filter, probes, and bits of a part of it.
 FILTER_BITS, PROBES, PART_BITS = 1 << 28, 4, 1 << 19
 #: Rows of a per-language table that may be broadcast.
@@ -50,6 +57,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 LOCAL = "lang string, hash long, n long, bar long"
+ROUND = "hash long, n int"
 COUNTED = "lang string, phrase string, words int, n long"
 
 
@@ -76,8 +84,8 @@ def word_hashes(lang: str, vocabulary: pa.Array) -> np.ndarray:
 
 
 def mined(words: np.ndarray, piece: np.ndarray, hashes: np.ndarray, longest: int,
-          keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, first places, counts, hashes) of the phrases that ``keep`` keeps by hash and count.
+          keep: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, first places, counts, hashes) of the phrases that ``keep`` keeps by length, hash and count.
 
     A phrase is looked at where both the phrase without its last word and the one
     without its first were kept.
@@ -88,7 +96,7 @@ def mined(words: np.ndarray, piece: np.ndarray, hashes: np.ndarray, longest: int
         counts = np.bincount(number, minlength=len(before))
         first = np.empty(len(before), np.int64)
         first[number[::-1]] = at[::-1]
-        kept = keep(before, counts)
+        kept = keep(length, before, counts)
         yield length, first[kept], counts[kept], before[kept]
         if length == longest or not kept.any():
             return
@@ -155,7 +163,7 @@ def _locally_frequent(support: int, longest: int, limit: int,
         bar = max(1, -(-support * sum(map(len, texts)) // max(whole, 1)))
         yield _local(lang, [None], [len(words)], bar)
         for _, _, counts, found in mined(words, piece, word_hashes(lang, vocabulary), longest,
-                                         lambda hashes, n: n >= bar):
+                                         lambda _, hashes, n: n >= bar):
             yield _local(lang, found.view(np.int64), counts, bar)
 
 
@@ -201,21 +209,39 @@ def bloom_filter(hashes: DataFrame, limit: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def _count_candidates(shared, longest: int, limit: int,
-                      batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per shard and language the count of every phrase that the filter lets through."""
-    bitmap = shared.value
-    bits = len(bitmap) * 8
+def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the filter lets each hash through."""
+    ok = np.ones(len(hashes), bool)
+    for at in places(hashes, len(bitmap) * 8):
+        ok &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return ok
 
-    def passes(hashes: np.ndarray, _: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(hashes), bool)
-        for at in places(hashes, bits):
-            ok &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return ok
+
+def _round_counts(shared, known: int, longest: int, limit: int,
+                  batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per shard hash and count of all phrases of more than ``known`` words whose parts of that many the filter lets through."""
+    def keep(length: int, hashes: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return passes(shared.value, hashes) if length <= known else np.ones(len(hashes), bool)
 
     for lang, texts, _ in shards(batches, limit):
         words, piece, vocabulary = words_of(texts)
-        for length, first, counts, _ in mined(words, piece, word_hashes(lang, vocabulary), longest, passes):
+        for length, _, counts, found in mined(words, piece, word_hashes(lang, vocabulary), longest, keep):
+            for i in range(0, len(found) if length > known else 0, SENT):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[i:i + SENT].view(np.int64)), pa.array(counts[i:i + SENT].astype(np.int32))],
+                    names=["hash", "n"])
+
+
+def _count_candidates(shared, longest: int, limit: int,
+                      batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per shard and language the count of every phrase that the filter lets through, and a row without phrase with all words."""
+    for lang, texts, _ in shards(batches, limit):
+        words, piece, vocabulary = words_of(texts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang]), pa.array([None], pa.string()), pa.array([0], pa.int32()), pa.array([len(words)], pa.int64())],
+            names=["lang", "phrase", "words", "n"])
+        for length, first, counts, _ in mined(words, piece, word_hashes(lang, vocabulary), longest,
+                                              lambda _, hashes, n: passes(shared.value, hashes)):
             n = len(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang]).take(pa.array(np.zeros(n, np.int64))), phrases_at(first, length, words, vocabulary),
@@ -240,18 +266,40 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     whole = sizes.agg(F.sum("whole")).first()[0] or 0
     shard = min(shard, max(1, whole // least))
     dealt = texts.join(sizes, "lang").select("lang", "text", "whole")
+    if support * shard > (LOWEST - 1) * whole:
+        candidates = _shard_candidates(dealt, support, longest, shard)
+    else:
+        shard = max(1, shard // 2)  # without a lowered support, smaller shards only save memory
+        candidates = _round_candidates(dealt, support, longest, shard)
+    shared = spark.sparkContext.broadcast(bloom_filter(candidates))
+    counted = stored(dealt.mapInArrow(partial(_count_candidates, shared, longest, shard), COUNTED)
+                     .groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("f"))
+                     .where(F.col("phrase").isNull() | (F.col("f") >= support)), "frequent")
+    totals = per_language(counted.where("phrase IS NULL").select("lang", F.col("f").alias("words_total")))
+    return counted.where("phrase IS NOT NULL"), totals
+
+
+def _shard_candidates(dealt: DataFrame, support: int, longest: int, shard: int) -> DataFrame:
+    """Hashes of what is frequent in a shard at its lowered support and may be so in the corpus."""
     local = stored(dealt.mapInArrow(partial(_locally_frequent, support, longest, shard), LOCAL), "local")
-    totals = per_language(local.where("hash IS NULL").groupBy("lang").agg(
-        F.sum("n").alias("words_total"), F.sum(F.col("bar") - 1).alias("missed")))
+    missed = per_language(local.where("hash IS NULL").groupBy("lang").agg(F.sum(F.col("bar") - 1).alias("missed")))
     bound = F.sum("n") - F.sum(F.col("bar") - 1)
-    candidates = stored(local.where("hash IS NOT NULL").groupBy("lang", "hash").agg(bound.alias("bound"))
-                        .join(totals, "lang").where(F.col("bound") + F.col("missed") >= support)
-                        .select("hash"), "candidates")
-    shared = spark.sparkContext.broadcast(bloom_filter(candidates))
-    counted = (dealt.mapInArrow(partial(_count_candidates, shared, longest, shard), COUNTED)
-               .groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("f"))
-               .where(F.col("f") >= support))
-    return stored(counted, "frequent"), totals.select("lang", "words_total")
+    return stored(local.where("hash IS NOT NULL").groupBy("lang", "hash").agg(bound.alias("bound"))
+                  .join(missed, "lang").where(F.col("bound") + F.col("missed") >= support)
+                  .select("hash"), "candidates")
+
+
+def _round_candidates(dealt: DataFrame, support: int, longest: int, shard: int) -> DataFrame:
+    """Hashes of what is frequent in the corpus, a few lengths after the other."""
+    candidates, shared, known = None, None, 0
+    for upto in [*(n for n in ROUNDS if n < longest), longest]:
+        counts = dealt.mapInArrow(partial(_round_counts, shared, known, upto, shard), ROUND)
+        found = stored(counts.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+                       .select("hash"), "candidates")
+        candidates = found if candidates is None else candidates.unionByName(found)
+        if upto < longest:
+            shared, known = dealt.sparkSession.sparkContext.broadcast(bloom_filter(candidates)), upto
+    return candidates
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, best: int = BEST,
