@@ -10,8 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import config as cfg
 from tidemark.operators import boosting as B
+from tidemark.operators import models as MD
 from tidemark.plans import training as TR
+from tidemark.queries import runs
 
 FEATURES = ["a", "b", "c", "flat"]
 
@@ -153,6 +156,40 @@ def test_few_rows_take_one_task_a_round(spark, monkeypatch):
     assert parts[-1] > 1
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_a_long_fit_of_few_rows_is_one_task(spark, monkeypatch, classes):
+    """The same trees as by rounds, sampled rows and columns included."""
+    data = [(*r[:2], None, *r[3:]) if r[0] % 17 == 0 else r for r in rows(300, classes)]
+    params = B.BoostParams(trees=B.STORED_EVERY, rate=0.2, leaves=5, l1=0.1, l2=0.1, row_share=0.7, column_share=0.7, seed=7)
+    fit = lambda: B.fit_boosted(frame(spark, data), FEATURES, "y", classes, "w", params, key=["id"])
+    asked, measure = [], B.histograms
+    monkeypatch.setattr(B, "histograms", lambda *a: asked.append(a) or measure(*a))
+    whole = fit()
+    assert not asked and {len(t) for t in whole.trees} == {B.STORED_EVERY}
+    monkeypatch.setattr(B, "TASK_ROWS", 50)
+    rounds = fit()
+    assert asked and whole.start == rounds.start and len(whole.trees) == len(rounds.trees)
+    for a, b in zip(sum(whole.trees, []), sum(rounds.trees, [])):
+        assert all(a[k] == b[k] for k in ("f", "b", "l", "t", "rows"))
+        assert a["v"] == pytest.approx(b["v"], rel=1e-9, abs=1e-12)
+
+
+def test_registry_runs_grow_the_configured_trees(spark, monkeypatch):
+    asked = {}
+
+    def noted(datasets, **rest):
+        asked.update(rest)
+        raise LookupError
+
+    monkeypatch.setattr(runs.TR, "run_registry", noted)
+    monkeypatch.setattr(runs, "tables", lambda *_: None)
+    monkeypatch.setattr(runs.V, "classification_dataset", lambda *_: None)
+    with pytest.raises(LookupError):
+        runs._registry_run(spark, "nowhere")
+    assert not any((asked.get("overrides") or {}).values()) and asked["splits"] == cfg.FIXTURE_SPLITS
+    assert {MD.MODEL_PARAMS[name]["trees"] for name in MD.BOOSTED} == {200}
+
+
 def test_models_are_fitted_side_by_side(spark, monkeypatch):
     both = threading.Barrier(2, timeout=60)
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import scratch_path
+from tidemark.session import ready, scratch_path  # noqa: F401  ready: for the other modules
 
 #: Words between ASCII white space; same class as ``bytes.split()``.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -15,21 +13,12 @@ SPACED_WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the path is shared."""
-    known = spark.sparkContext.environment
-    parts = [x for x in known.get("PYTHONPATH", "").split(":") if x]
-    if _ROOT not in parts:
-        known["PYTHONPATH"] = ":".join([_ROOT, *parts])
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(text, _UPPER, _UPPER.lower())

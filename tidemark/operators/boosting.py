@@ -13,7 +13,9 @@ not depend on how rows are partitioned, so equal data give equal trees.
 
 What the driver holds is bounded by leaves x features x bins, whatever the rows.
 Rows with their margins are cached from tree to tree and stored in the shared folder
-every ``STORED_EVERY`` trees, which ends their lineage.
+every ``STORED_EVERY`` trees, which ends their lineage.  A round over few rows costs as
+much as any job, so a fit of that many trees over at most ``TASK_ROWS`` rows is made by
+one task that holds them: the same sums, splits and trees without a job for each round.
 """
 
 from __future__ import annotations
@@ -21,19 +23,22 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import ready, scratch_path
 from .preparation import long_form
 
 STORED_EVERY = 10
-#: Rows that are worth a task of their own; a round over fewer is one task without shuffle.
+#: Rows that are worth a task of their own; a round over fewer is one task without shuffle, and so is a long fit.
 TASK_ROWS = 10_000
 #: Least curvature of a row.
 FLAT = 1e-16
@@ -310,11 +315,13 @@ def histograms(rows: DataFrame, targets: list[tuple[str, list[int]]],
     return out
 
 
-def grown(rows: DataFrame, classes: int, shape: tuple[int, int], params: BoostParams, scale: float,
-          columns: np.ndarray) -> list[Growth]:
+#: Sums of the wanted nodes of each class, given the routes to them, their depth and their numbers.
+Measure = Callable[[list[tuple[dict, int, list[int]]]], list[dict[int, np.ndarray]]]
+
+
+def grown(measure: Measure, classes: int, params: BoostParams, scale: float, columns: np.ndarray) -> list[Growth]:
     """One tree per class, round by round."""
-    roots = histograms(rows, [("0", [0])] * classes, shape)
-    growths = [Growth(params, scale, columns, found[0]) for found in roots]
+    growths = [Growth(params, scale, columns, found[0]) for found in measure([({}, 0, [0])] * classes)]
     while True:
         opened, targets = [], []
         for tree in growths:
@@ -324,10 +331,10 @@ def grown(rows: DataFrame, classes: int, shape: tuple[int, int], params: BoostPa
             opened.append(opens)
             depth = 1 + max((tree.nodes[i].depth for i in pending), default=0)
             wanted = [first if small else first + 1 for _, first, small in opens]
-            targets.append((routed(tree.routes(before), depth), wanted))
+            targets.append((tree.routes(before), depth, wanted))
         if not any(opened):
             return growths
-        for tree, opens, found in zip(growths, opened, histograms(rows, targets, shape)):
+        for tree, opens, found in zip(growths, opened, measure(targets)):
             for i, first, small in opens:
                 tree.close(i, found[first if small else first + 1], small)
 
@@ -360,26 +367,39 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, classes: int, we
     scale = 2.0 ** min(40, math.floor(62 - math.log2(max(rows_n, 1) * max(top, 1.0) * 2)))
     model = BoostedTrees(features, start, [[] for _ in range(trees)], asdict(params))
     state = state.coalesce(max(1, math.ceil(rows_n / TASK_ROWS)))
-    state = state.withColumns({f"m{k}": F.lit(start[k]) for k in range(trees)})
-    draws = np.random.default_rng(params.seed)
     places = {c: i for i, c in enumerate(features)}
+
+    def add(done: list[dict]) -> None:
+        for k, t in enumerate(done):
+            model.trees[k].append({**t, "t": [edges[used[f]][b] if f >= 0 else 0.0 for f, b in zip(t["f"], t["b"])],
+                                   "f": [places[used[f]] if f >= 0 else -1 for f in t["f"]]})
+
+    if rows_n <= TASK_ROWS and params.trees >= STORED_EVERY:
+        ready(df.sparkSession)
+        in_task = state.mapInArrow(partial(_grown_in_task, params, start, scale, shape, len(used)),
+                                   "number int, trees string")
+        for row in sorted(in_task.collect()):
+            add(json.loads(row["trees"]))
+        return model
+    state = state.withColumns({f"m{k}": F.lit(start[k]) for k in range(trees)})
+    drawn = drawn_columns(params, len(used), shape[0])
     held: DataFrame | None = None
     for number in range(params.trees):
-        columns = np.zeros(shape[0], bool)
-        columns[draws.permutation(len(used))[:math.ceil(len(used) * params.column_share)]] = True
         rows = _with_gradients(state, trees, scale, params, number).persist(StorageLevel.MEMORY_AND_DISK)
-        done = [g.tree() for g in grown(rows, trees, shape, params, scale, columns)]
+
+        def measure(targets, rows=rows):
+            return histograms(rows, [(routed(*to), wanted) for *to, wanted in targets], shape)
+
+        done = [g.tree() for g in grown(measure, trees, params, scale, next(drawn))]
         if held is not None:
             held.unpersist()
         held = rows
-        if all(len(t["f"]) == 1 for t in done) and params.row_share == params.column_share == 1.0:
+        if _settled(done, params):
             break
         state = rows.select("label", "w", "draw", "bins", *[
             F.expr(f"m{k} + element_at({numbers(t['v'])}, 1 + {routed(t, depth_of(t))})").alias(f"m{k}")
             for k, t in enumerate(done)])
-        for k, t in enumerate(done):
-            model.trees[k].append({**t, "t": [edges[used[f]][b] if f >= 0 else 0.0 for f, b in zip(t["f"], t["b"])],
-                                   "f": [places[used[f]] if f >= 0 else -1 for f in t["f"]]})
+        add(done)
         if number % STORED_EVERY == STORED_EVERY - 1:
             state = _stored(state, quick).coalesce(max(1, math.ceil(rows_n / TASK_ROWS)))
     if held is not None:
@@ -387,6 +407,121 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, classes: int, we
     return model
 
 
+def drawn_columns(params: BoostParams, used: int, width: int) -> Iterator[np.ndarray]:
+    """The columns that each tree may split."""
+    draws = np.random.default_rng(params.seed)
+    while True:
+        columns = np.zeros(width, bool)
+        columns[draws.permutation(used)[:math.ceil(used * params.column_share)]] = True
+        yield columns
+
+
+def _settled(done: list[dict], params: BoostParams) -> bool:
+    """Whether no later tree can split what these did not."""
+    return all(len(t["f"]) == 1 for t in done) and params.row_share == params.column_share == 1.0
+
+
+# --- a fit in one task ------------------------------------------------------------------
+def _grown_in_task(params: BoostParams, start: list[float], scale: float, shape: tuple[int, int], used: int,
+                   batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(number, trees of all classes) of every tree, grown over the rows of this task."""
+    rows = pa.Table.from_batches(list(batches))
+    if not len(rows):
+        return
+    label, w, draw = (rows[c].to_numpy() for c in ("label", "w", "draw"))
+    w = np.nan_to_num(w)  # no weight: counted only
+    bins = rows["bins"].combine_chunks().flatten().to_numpy().reshape(len(rows), used).astype(np.int64)
+    cells = bins + np.arange(used) * shape[1]
+    m = [np.full(len(rows), x) for x in start]
+    drawn = drawn_columns(params, used, shape[0])
+    for number in range(params.trees):
+        g, h = _whole_gradients(label, w, m, scale)
+        sampled = _sampled(draw, params, number)
+
+        def measure(targets):
+            out = []
+            for k, (routes, depth, wanted) in enumerate(targets):
+                node = _nodes(routes, depth, bins)
+                out.append({n: _sums(cells, g[k], h[k], sampled & (node == n), shape) for n in wanted})
+            return out
+
+        done = [t.tree() for t in grown(measure, len(start), params, scale, next(drawn))]
+        if _settled(done, params):
+            return
+        m = [own + np.array(t["v"])[_nodes(t, depth_of(t), bins)] for own, t in zip(m, done)]
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([json.dumps(done)])],
+                                         names=["number", "trees"])
+
+
+def _nodes(tree: dict, depth: int, bins: np.ndarray) -> np.ndarray:
+    """The node that each row's bins lead to."""
+    node = np.zeros(len(bins), np.int64)
+    if depth:
+        f, b, left = (np.array(tree[x]) for x in ("f", "b", "l"))
+        every = np.arange(len(bins))
+        for _ in range(depth):
+            at = f[node]
+            node = np.where(at < 0, node, left[node] + (bins[every, at] > b[node]))
+    return node
+
+
+def _sums(cells: np.ndarray, g: np.ndarray, h: np.ndarray, taken: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Sums by feature and bin of the taken rows, in whole numbers."""
+    at, width = cells[taken].ravel(), cells.shape[1]
+    out = np.zeros((3, shape[0] * shape[1]), np.int64)
+    for i, x in enumerate((g, h)):
+        np.add.at(out[i], at, np.repeat(x[taken], width))
+    out[2] = np.bincount(at, minlength=shape[0] * shape[1])
+    return np.ascontiguousarray(out.T).reshape(*shape, 3)
+
+
+def _whole_gradients(label: np.ndarray, w: np.ndarray, m: list[np.ndarray],
+                     scale: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What ``_with_gradients`` states in SQL."""
+    if len(m) == 1:
+        p, hit, stretch = [1.0 / (1.0 + np.exp(-m[0]))], [label == 1], 1.0
+    else:
+        top = np.max(m, axis=0)
+        parts = [np.exp(x - top) for x in m]
+        total = sum(parts[1:], parts[0])
+        p, hit, stretch = [x / total for x in parts], [label == k for k in range(len(m))], len(m) / (len(m) - 1)
+
+    def whole(x: np.ndarray) -> np.ndarray:
+        return np.trunc(x * scale + np.copysign(0.5, x)).astype(np.int64)
+
+    return ([whole(w * (x - y)) for x, y in zip(p, hit)],
+            [whole(w * np.maximum(x * (1.0 - x) * stretch, FLAT)) for x in p])
+
+
+def _sampled(draw: np.ndarray, params: BoostParams, number: int) -> np.ndarray:
+    """Spark's ``pmod(xxhash64(draw, seed, number), 1000000)`` below the share."""
+    if params.row_share >= 1:
+        return np.ones(len(draw), bool)
+    one, two, three, four, five = (np.uint64(x) for x in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x, by):
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    def finished(x):
+        x = (x ^ (x >> np.uint64(33))) * two
+        x = (x ^ (x >> np.uint64(29))) * three
+        return x ^ (x >> np.uint64(32))
+
+    def of_long(value, x):
+        return finished(turned((x + five + np.uint64(8)) ^ (turned(value * two, 31) * one), 27) * one + four)
+
+    def of_int(value, x):
+        return finished(turned((x + five + np.uint64(4)) ^ (value * one), 23) * two + three)
+
+    x = of_long(draw.view(np.uint64), np.full(len(draw), 42, np.uint64))
+    for value in (params.seed, number):
+        small = -2**31 <= value < 2**31
+        own = np.full(len(draw), value & (0xFFFFFFFF if small else 0xFFFFFFFFFFFFFFFF), np.uint64)
+        x = (of_int if small else of_long)(own, x)
+    return np.mod(x.view(np.int64), 1_000_000) < int(params.row_share * 1_000_000)
+
+
 def _quick(spark: SparkSession) -> SparkSession:
     """A session for many small jobs: aggregates bounded by the tree gain nothing from re-planning at run time."""
     quick = spark.newSession()

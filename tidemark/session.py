@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 from typing import TypeVar
 
 from pyspark.sql import SparkSession
@@ -14,6 +15,7 @@ from pyspark.util import inheritable_thread_target
 T = TypeVar("T")
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def build_session(app: str = "tidemark", master: str | None = None,
@@ -63,6 +65,14 @@ def at_once(spark: SparkSession, *tasks: Callable[[], T]) -> list[T]:
     return [r.result() for r in running]
 
 
+def ready(spark: SparkSession) -> None:
+    """Lets Python workers import this package where the path is shared."""
+    known = spark.sparkContext.environment
+    parts = [x for x in known.get("PYTHONPATH", "").split(":") if x]
+    if _ROOT not in parts:
+        known["PYTHONPATH"] = ":".join([_ROOT, *parts])
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
