@@ -79,16 +79,26 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def word_hashes(lang: str, vocabulary: pa.Array) -> np.ndarray:
-    seed = xxhash.xxh3_64_intdigest(lang.encode()) & 0xFFFFFFFF
-    return np.array([xxhash.xxh3_64_intdigest(w, seed) for w in vocabulary.to_pylist()], np.uint64)
+    """Sums of hashes of (byte, place in the word), seeded by the language."""
+    offsets = np.frombuffer(vocabulary.buffers()[1], np.int32)[vocabulary.offset:vocabulary.offset + len(vocabulary) + 1]
+    if not len(vocabulary):
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(vocabulary.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].astype(np.uint64)
+    starts = (offsets - offsets[0])[:-1]
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(offsets))
+    seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+    # words are not empty, so each has bytes of its own
+    return mixed(np.add.reduceat(mixed(data + (place.astype(np.uint64) << np.uint64(8)) + seed), starts))
 
 
 def mined(words: np.ndarray, piece: np.ndarray, hashes: np.ndarray, longest: int,
-          keep: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, first places, counts, hashes) of the phrases that ``keep`` keeps by length, hash and count.
+          keep: Callable[[np.ndarray], np.ndarray] | None = None,
+          lets: Callable[[int, np.ndarray], np.ndarray] | None = None,
+          ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, first places, counts, hashes) of the phrases that ``lets`` keeps by length and hash and ``keep`` by count.
 
     A phrase is looked at where both the phrase without its last word and the one
-    without its first were kept.
+    without its first were kept.  Places are dropped by ``lets`` before phrases are numbered.
     """
     n = len(words)
     at, number, before = np.arange(n, dtype=np.int32), words, hashes
@@ -96,7 +106,9 @@ def mined(words: np.ndarray, piece: np.ndarray, hashes: np.ndarray, longest: int
         counts = np.bincount(number, minlength=len(before))
         first = np.empty(len(before), np.int64)
         first[number[::-1]] = at[::-1]
-        kept = keep(length, before, counts)
+        kept = np.ones(len(before), bool) if keep is None else keep(counts)
+        if lets is not None and length == 1:
+            kept &= lets(length, before)
         yield length, first[kept], counts[kept], before[kept]
         if length == longest or not kept.any():
             return
@@ -107,15 +119,23 @@ def mined(words: np.ndarray, piece: np.ndarray, hashes: np.ndarray, longest: int
         at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0)).astype(np.int32)
         at = at[at + length < n]
         at = at[piece[at] == piece[at + length]]
+        before = before[kept]
+        if lets is not None:
+            at = at[lets(length + 1, extended(before[here[at]], hashes[words[at + length]]))]
         if not len(at):
             return
         keys = pa.array(here[at] * np.int64(len(hashes)) + words[at + length]).dictionary_encode()
         del here, renumbered
         pairs = keys.dictionary.to_numpy()
-        before = mixed(before[kept][pairs // len(hashes)] * np.uint64(31) + hashes[pairs % len(hashes)])
+        before = extended(before[pairs // len(hashes)], hashes[pairs % len(hashes)])
         number = keys.indices.to_numpy()
 
 
+def extended(phrases: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases by one word longer."""
+    return mixed(phrases * np.uint64(31) + words)
+
+
 def phrases_at(first: np.ndarray, length: int, words: np.ndarray, vocabulary: pa.Array) -> pa.Array:
     parts = [vocabulary.take(pa.array(words[first + i])) for i in range(length)]
     joined = parts[0] if length == 1 else pc.binary_join_element_wise(*parts, b" ")
@@ -162,8 +182,7 @@ def _locally_frequent(support: int, longest: int, limit: int,
         words, piece, vocabulary = words_of(texts)
         bar = max(1, -(-support * sum(map(len, texts)) // max(whole, 1)))
         yield _local(lang, [None], [len(words)], bar)
-        for _, _, counts, found in mined(words, piece, word_hashes(lang, vocabulary), longest,
-                                         lambda _, hashes, n: n >= bar):
+        for _, _, counts, found in mined(words, piece, word_hashes(lang, vocabulary), longest, lambda n: n >= bar):
             yield _local(lang, found.view(np.int64), counts, bar)
 
 
@@ -174,10 +193,16 @@ def _local(lang: str, hashes, counts, bar: int) -> pa.RecordBatch:
          pa.array(counts, pa.int64()), pa.array(np.full(n, bar))], names=["lang", "hash", "n", "bar"])
 
 
+def probes(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The filter's bits of each hash, probe by probe."""
+    step = mixed(hashes) | np.uint64(1)
+    for i in range(PROBES):
+        yield (hashes + np.uint64(i) * step) & np.uint64(bits - 1)
+
+
 def places(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The filter's bits of each hash, one row per probe."""
-    step = mixed(hashes) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)])
+    return np.stack([*probes(hashes, bits)])
 
 
 def _filter_parts(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +237,7 @@ def bloom_filter(hashes: DataFrame, limit: int = FILTER_BITS) -> np.ndarray:
 def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the filter lets each hash through."""
     ok = np.ones(len(hashes), bool)
-    for at in places(hashes, len(bitmap) * 8):
+    for at in probes(hashes, len(bitmap) * 8):
         ok &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
     return ok
 
@@ -220,12 +245,12 @@ def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def _round_counts(shared, known: int, longest: int, limit: int,
                   batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per shard hash and count of all phrases of more than ``known`` words whose parts of that many the filter lets through."""
-    def keep(length: int, hashes: np.ndarray, _: np.ndarray) -> np.ndarray:
+    def lets(length: int, hashes: np.ndarray) -> np.ndarray:
         return passes(shared.value, hashes) if length <= known else np.ones(len(hashes), bool)
 
     for lang, texts, _ in shards(batches, limit):
         words, piece, vocabulary = words_of(texts)
-        for length, _, counts, found in mined(words, piece, word_hashes(lang, vocabulary), longest, keep):
+        for length, _, counts, found in mined(words, piece, word_hashes(lang, vocabulary), longest, None, lets):
             for i in range(0, len(found) if length > known else 0, SENT):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found[i:i + SENT].view(np.int64)), pa.array(counts[i:i + SENT].astype(np.int32))],
@@ -241,7 +266,7 @@ def _count_candidates(shared, longest: int, limit: int,
             [pa.array([lang]), pa.array([None], pa.string()), pa.array([0], pa.int32()), pa.array([len(words)], pa.int64())],
             names=["lang", "phrase", "words", "n"])
         for length, first, counts, _ in mined(words, piece, word_hashes(lang, vocabulary), longest,
-                                              lambda _, hashes, n: passes(shared.value, hashes)):
+                                              lets=lambda _, hashes: passes(shared.value, hashes)):
             n = len(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang]).take(pa.array(np.zeros(n, np.int64))), phrases_at(first, length, words, vocabulary),
